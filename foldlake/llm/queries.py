@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from foldlake.llm import fingerprints, secrets, sharding
+from foldlake.llm import fingerprints, secrets, sharding, toxicity
 
-MODULES = (fingerprints, secrets, sharding)
+MODULES = (fingerprints, secrets, sharding, toxicity)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
