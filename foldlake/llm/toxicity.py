@@ -99,13 +99,15 @@ def _counts(words, dims: int, sign: float = 1.0, into: dict | None = None) -> di
     return into
 
 
-def fit(texts, labels, groups=IDENTITY_TERMS, dims: int = DIMS, l1: float = 5e-4, fairness: float = 1.0, steps: int = 250) -> Model:
-    """``fairness`` weighs the mean squared score change over all swapped sentences."""
+def fit(texts, labels, groups=IDENTITY_TERMS, dims: int = DIMS, l1: float = 1e-2, fairness: float = 1.0, steps: int = 150, least: int = 3) -> Model:
+    """``least``: texts that must have a feature. ``fairness`` weighs the mean squared score change over all swapped sentences."""
     y = np.asarray(labels, float)
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.5
         return Model(np.zeros(dims), float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
-    rows = _Rows([_counts(words_of(t), dims) for t in texts], dims)
+    counted = [_counts(words_of(t), dims) for t in texts]
+    met = np.bincount(np.fromiter((f for r in counted for f in r), np.int64), minlength=dims)
+    rows = _Rows([{f: v for f, v in r.items() if met[f] >= least} for r in counted], dims)
     pairs = [p for t in texts for p in counterfactuals(t, groups)]
     swaps = _Rows([_counts(b, dims, -1.0, _counts(a, dims)) for a, b in pairs], dims)
     share = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
