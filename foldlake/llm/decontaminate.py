@@ -75,28 +75,39 @@ def _grams(codes: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def banded_alignment(pattern: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int, int]:
-    """(edits, end): the least edits between the pattern and a stretch of ``text``, over diagonals low..high.
+def banded_alignments(patterns: list[np.ndarray], codes: np.ndarray, lows: np.ndarray, wide: int, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(edits, stops): for each pattern the least edits to a stretch of ``codes`` and where that stops, exclusive.
 
-    The stretch may start anywhere; end is where the best one stops, exclusive.
+    The stretch lies between begin and end and starts anywhere; diagonals (text position minus
+    pattern position) go from low to low + wide - 1. All alignments advance a character at a time.
     """
-    m, n, wide = len(pattern), len(text), high - low + 1
-    far = m + n + 1
+    size = np.array([len(p) for p in patterns])
+    chars = np.full((len(patterns), size.max()), -1, np.int64)
+    for k, p in enumerate(patterns):
+        chars[k, : len(p)] = p
+    far = int(size.max()) * 2 + wide + 1
     offset = np.arange(wide)
-    at = low + offset  # text position before the row's character
-    row = np.where((at >= 0) & (at <= n), 0, far).astype(np.int64)
-    padded = np.concatenate([text.astype(np.int64), [-1]])
-    for i in range(m):
-        j = low + i + offset  # index of the character met on the diagonal
-        inside = (j >= 0) & (j < n)
-        hit = padded[np.where(inside, j, n)] == int(pattern[i])
-        step = np.where(inside, row + ~hit, far)
-        down = np.append(row[1:], far) + 1  # the pattern's character has no partner
-        best = np.minimum(step, np.where((j + 1 >= 0) & (j + 1 <= n), down, far))
-        row = np.minimum.accumulate(best - offset) + offset  # a character of the text has no partner
-        row = np.where((j + 1 >= 0) & (j + 1 <= n), row, far)
-    k = int(row.argmin())
-    return int(row[k]), low + m + k
+    lo, hi = begins[:, None], ends[:, None]
+    place = lows[:, None] + offset  # text position on each diagonal before the row's character
+    row = np.where((place >= lo) & (place <= hi), 0, far)
+    text = codes.astype(np.int64)
+    edits, stops = np.full(len(patterns), far), np.zeros(len(patterns), np.int64)
+    gone = np.full((len(patterns), 1), far)
+    for i in range(int(size.max())):
+        met = (place >= lo) & (place < hi)
+        same = text[np.clip(place, 0, len(text) - 1)] == chars[:, i : i + 1]
+        step = np.where(met, row + ~same, far)
+        place = place + 1
+        valid = (place >= lo) & (place <= hi)
+        # The pattern's character has no partner: same text position, one diagonal down.
+        down = np.hstack([row[:, 1:], gone]) + 1
+        row = np.where(valid, np.minimum(step, down), far)
+        # A character of the text has no partner.
+        row = np.where(valid, np.minimum.accumulate(row - offset, axis=1) + offset, far)
+        for k in np.flatnonzero(size == i + 1):
+            best = int(row[k].argmin())
+            edits[k], stops[k] = row[k, best], place[k, best]
+    return edits, stops
 
 
 @dataclass
@@ -163,9 +174,11 @@ class Matcher:
         owner = self.owner[spread]
         diagonal = np.repeat(pos, each) - self.place[spread] + WINDOW  # never negative
         band = diagonal >> self.shifts[owner]
-        wide = np.int64(1) << 40
+        wide = np.int64(1) << 32
         # Each hit counts for the band that starts in its cell and for the one before.
-        key, n = np.unique(np.concatenate([owner * wide + band + 1, owner * wide + band]), return_counts=True)
+        cell = np.concatenate([owner * wide + band + 1, owner * wide + band])
+        # A gram of the pattern counts once in a band, however often the text repeats it.
+        key, n = np.unique(np.unique(cell * 128 + np.tile(self.place[spread], 2)) >> 7, return_counts=True)
         who = key // wide
         good = n >= self.needs[who]
         out = []
@@ -193,28 +206,37 @@ class Matcher:
             joined = "\n".join(texts[lo:hi])
             codes, ends = _codes(joined), np.cumsum([len(t) + 1 for t in texts[lo:hi]])
             best: dict[tuple[int, int], tuple[int, int, int]] = {}
+            todo: list[tuple[int, int, int, int, int]] = []
             for o, low, high in self.regions(codes):
-                p = self.patterns[o]
-                middle = min(max(0, (low + high) // 2 + len(p.text) // 2), len(codes) - 1)
-                for d in {int(np.searchsorted(ends, x, side="right")) for x in (min(max(0, low), len(codes) - 1), middle, min(max(0, high + len(p.text)), len(codes) - 1))}:
-                    begin, end = (int(ends[d - 1]) if d else 0), int(ends[d]) - 1
-                    if (o, d) in best and best[o, d][0] == 0:
+                m = len(self.patterns[o].text)
+                for d in range(int(np.searchsorted(ends, max(0, low), side="right")), min(len(ends) - 1, int(np.searchsorted(ends, high + m, side="right"))) + 1):
+                    if best.get((o, d), (1,))[0] == 0:
                         continue
-                    exact = joined.find(p.text, max(begin, low), min(end, high + len(p.text)))
+                    begin, end = (int(ends[d - 1]) if d else 0), int(ends[d]) - 1
+                    exact = joined.find(self.patterns[o].text, max(begin, low), max(begin, min(end, high + m)))
                     if exact >= 0:
-                        best[o, d] = (0, exact - begin, exact - begin + len(p.text))
-                        continue
-                    a, b = max(begin, low - p.budget), min(end, high + len(p.text) + p.budget)
-                    if b <= a:
-                        continue
-                    edits, stop = banded_alignment(p.codes, codes[a:b], low - p.budget - a, high + p.budget - a)
-                    if edits <= p.budget and edits < best.get((o, d), (len(p.text),))[0]:
-                        best[o, d] = (edits, max(0, a + stop - len(p.text) - begin), a + stop - begin)
+                        best[o, d] = (0, exact - begin, exact - begin + m)
+                    else:
+                        todo.append((o, d, low, begin, end))
+            self._align([t for t in todo if best.get(t[:2], (1,))[0]], codes, best)
             for (o, d), (edits, start, stop) in best.items():
                 found[lo + d].append((self.patterns[o].item, start, stop, edits))
             lo = hi
         return found
 
+    def _align(self, todo: list[tuple[int, int, int, int, int]], codes: np.ndarray, best: dict) -> None:
+        """Verify regions (pattern, text, lowest diagonal, begin, end), those of one band width together."""
+        for shift in {self.patterns[t[0]].shift for t in todo}:
+            same = [t for t in todo if self.patterns[t[0]].shift == shift]
+            for k in range(0, len(same), 256):
+                part = same[k : k + 256]
+                ps = [self.patterns[t[0]] for t in part]
+                low, begin, end = (np.array([t[i] for t in part], np.int64) for i in (2, 3, 4))
+                edits, stops = banded_alignments([p.codes for p in ps], codes, low, 2 << shift, begin, end)
+                for (o, d, _, b, _), p, e, stop in zip(part, ps, edits.tolist(), stops.tolist(), strict=True):
+                    if e <= p.budget and e < best.get((o, d), (e + 1,))[0]:
+                        best[o, d] = (e, max(0, stop - len(p.text) - b), stop - b)
+
 
 def blocks(benchmark: DataFrame, most: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
     """The benchmark's items in blocks of at most ``most`` characters (or of one longer item)."""
