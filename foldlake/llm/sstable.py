@@ -251,7 +251,7 @@ def build(docs: DataFrame, tokenizer: str, folder: str, shard_bytes: int = 16 <<
         writer = file = None
         first = last = None
         for b in batches:
-            ids = [None if pd.isna(x) else int(x) for x in b["doc_id"]]
+            ids = [None if x is None else int(x) for x in b["id"]]
             texts = b["text"].tolist()
             for lo in range(0, len(texts), 256):
                 for doc_id, values in zip(ids[lo : lo + 256], encoder(texts[lo : lo + 256]), strict=True):
@@ -266,6 +266,7 @@ def build(docs: DataFrame, tokenizer: str, folder: str, shard_bytes: int = 16 <<
 
     parts = max(1, -(-size // shard_bytes))
     ranged = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    ranged = ranged.select(F.col("doc_id").cast("string").alias("id"), "text")  # pandas would make ids with a null floats
     spark = docs.sparkSession
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
@@ -305,7 +306,8 @@ def read(manifest: DataFrame) -> DataFrame:
 
 
 def _frame(rows: list[tuple], name: str) -> pd.DataFrame:
-    f = pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32"]).astype({"doc_id": "Int64"})
+    columns = list(zip(*rows, strict=True)) or [()] * 4
+    f = pd.DataFrame({c: pd.array(v, "Int64") for c, v in zip(("doc_id", "start", "n_tokens", "ids_crc32"), columns, strict=True)})
     f["shard"] = name.rsplit("/", 1)[-1]
     return f
 
