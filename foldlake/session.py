@@ -19,6 +19,7 @@ def local_session(cpus: int | str = "*", app: str = "foldlake", memory: str = "8
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.maxMetadataStringLength", "2000")
         .config("spark.checkpoint.dir", f"file:///tmp/foldlake-{os.getuid()}/shared")
         .config("spark.sql.warehouse.dir", f"/tmp/foldlake-{os.getuid()}/warehouse")
         .config("spark.sql.variant.allowDuplicateKeys", "true")

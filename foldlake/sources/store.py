@@ -63,7 +63,7 @@ def parse_bucket(uri: str) -> Bucket:
     raise EngineError("InvalidConfig", f"not a bucket address: {uri!r}")
 
 
-NAME = re.compile(r"^[^/\x00-\x1f\x7f_][^/\x00-\x1f\x7f]*$")
+NAME = re.compile(r"[^/\x00-\x1f\x7f_][^/\x00-\x1f\x7f]*\Z")
 
 
 class Files:
@@ -165,7 +165,14 @@ class Store:
             F.lit(self.name).alias("collection"), (F.col("o") + rank).alias("seq"), F.lit(stamp).alias("commit_ts"), "op", "doc_id", F.lit(session).alias("session"), "after"
         )
         batch = f"{start:016d}-{at:016d}-{uuid.uuid4().hex[:8]}"
-        out.write.parquet(f"{self.root}/log/{batch}")
+        # Log bodies are not shredded, so that readers other than Spark find them whole.
+        shred = "spark.sql.variant.inferShreddingSchema"
+        before = self.spark.conf.get(shred)
+        self.spark.conf.set(shred, "false")
+        try:
+            out.write.parquet(f"{self.root}/log/{batch}")
+        finally:
+            self.spark.conf.set(shred, before)
         self.files.delete(staged[len(self.root) + 1 :])
         batches = (head["batches"] if head else []) + [batch]
         self._advance(head, tail=at, batches=batches)

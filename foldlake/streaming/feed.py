@@ -107,15 +107,20 @@ class FeedReader(DataSourceStreamReader):
         pass
 
     def read(self, partition):
-        import pyarrow.dataset as ds
+        import pyarrow.parquet as pq
+        from pyarrow import fs
 
         where, root = self._fs()
+        rows = []
         for b in partition.files:
-            data = ds.dataset(f"{root}/log/{b}", format="parquet", filesystem=where)
-            rows = data.to_table(columns=["seq", "op", "doc_id", "commit_ts", "after"], filter=(ds.field("seq") >= partition.low) & (ds.field("seq") < partition.high)).sort_by("seq")
-            for r in rows.to_pylist():
-                a = r["after"]
-                yield r["seq"], r["op"], r["doc_id"], r["commit_ts"], VariantVal(a["value"], a["metadata"]).toJson() if a else None
+            for f in where.get_file_info(fs.FileSelector(f"{root}/log/{b}")):
+                if f.path.endswith(".parquet"):
+                    part = pq.ParquetFile(f.path, filesystem=where)
+                    rows += [r for r in part.read(["seq", "op", "doc_id", "commit_ts", "after"]).to_pylist() if partition.low <= r["seq"] < partition.high]
+        for r in sorted(rows, key=lambda r: r["seq"]):
+            a = r["after"]
+            body = VariantVal(a["value"], a["metadata"]).toJson() if a and a["value"] is not None else None
+            yield r["seq"], r["op"], r["doc_id"], r["commit_ts"], body
 
 
 def log_stream(spark: SparkSession, root: str, schema, max_files: int = 100) -> DataFrame:
