@@ -17,7 +17,8 @@ The benchmark goes to the tasks in blocks of at most ``BLOCK_CHARS`` characters,
 that proven size; documents are read once for a block and never shuffled.
 
 Defined cases: null or empty texts are clean; an item that is null or has no letter or digit
-matches nothing; an empty benchmark leaves every document clean; repeated rows are judged each;
+matches nothing; an empty benchmark leaves every document clean; repeated rows are searched each
+(and rows of one id, null included, count together in the report);
 texts of any length are searched whole; columns other than those named are passed through.
 """
 
@@ -265,18 +266,18 @@ def matches(docs: DataFrame, items: list[tuple[int, str]], name: str) -> DataFra
             yield pd.Series([[{"item_id": i, "start": a, "end": b, "edits": e} for i, a, b, e in sorted(f)] for f in found], dtype=object)
 
     find.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return docs.withColumn(name, F.pandas_udf(find, MATCHES)("text"))
+    # Not deterministic in name only: so the optimizer does not evaluate it once for the filter and again for its rows.
+    return docs.withColumn(name, F.pandas_udf(find, MATCHES).asNondeterministic()("text"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, windows, edits, start, end) for every document and item that it has a window of."""
     out = None
     for items in blocks(benchmark):
-        rows = matches(docs.select("doc_id", "text"), items, "m").filter(F.size("m") > 0).select("doc_id", F.monotonically_increasing_id().alias("_row"), F.explode("m").alias("m"))
-        rows = rows.groupBy("doc_id", "_row", F.col("m.item_id").alias("item_id")).agg(
+        rows = matches(docs.select("doc_id", "text"), items, "m").filter(F.size("m") > 0).select("doc_id", F.explode("m").alias("m"))
+        rows = rows.groupBy("doc_id", F.col("m.item_id").alias("item_id")).agg(
             F.count(F.lit(1)).alias("windows"), F.min("m.edits").alias("edits"), F.min("m.start").alias("start"), F.max("m.end").alias("end")
         )
-        rows = rows.drop("_row")
         out = rows if out is None else out.unionByName(rows)
     if out is None:
         return docs.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, windows bigint, edits int, start int, end int")
