@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import uuid
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,13 +19,17 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session has none (a local test) is one set, under /tmp.
+    A session without one, as in a local test, gets a folder under /tmp for as long as the process lives.
     """
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not where:
-        where = "file:///tmp/foldlake-shared"
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+    return where.rstrip("/") if where else _own_folder()
+
+
+@cache
+def _own_folder() -> str:
+    path = f"/tmp/foldlake-shared-{os.getpid()}"
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return f"file://{path}"
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:

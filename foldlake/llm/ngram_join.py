@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldlake.llm.common import documents, saved
+from foldlake.llm.common import documents, free_name, saved
 from foldlake.llm.components import components
 
 WIDTH = 5
@@ -44,7 +44,7 @@ WORD = re.compile(r"[^\W_]+")
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, most: int = PERMUTATIONS) -> tuple[int, int]:
     """(bands, rows): the most rows a band, so the fewest false candidates, that ``most`` permutations allow."""
     for rows in range(most, 0, -1):
-        bands = max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows))) if threshold**rows < 1 else 1
+        bands = max(1, math.ceil(math.log(1 - recall) / math.log1p(-(threshold**rows)))) if threshold < 1 else 1
         if bands * rows <= most:
             return bands, rows
     return most, 1
@@ -277,8 +277,9 @@ def op8_ngram_join(spark, sf_dir):
 
 def keep_one_stage(spark, docs, sf_dir):
     """Pipeline stage: of each group of linked documents the one with the least id stays. Rows without an id stay."""
-    keep = join(docs.select("doc_id", "text")).filter("doc_id = class_id").select(F.col("doc_id").alias("_keep")).distinct()
-    own = docs.filter("doc_id IS NOT NULL").join(keep, F.col("doc_id") == F.col("_keep")).drop("_keep").dropDuplicates(["doc_id"])
+    key = free_name(docs, "_keep")
+    keep = join(docs.select("doc_id", "text")).filter("doc_id = class_id").select(F.col("doc_id").alias(key)).distinct()
+    own = docs.filter("doc_id IS NOT NULL").join(keep, F.col("doc_id") == F.col(key)).drop(key).dropDuplicates(["doc_id"])
     return own.unionByName(docs.filter("doc_id IS NULL")).select(*docs.columns)
 
 

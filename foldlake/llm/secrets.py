@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldlake.llm.common import documents, saved, text_of
+from foldlake.llm.common import documents, free_name, saved, text_of
 
 
 @dataclass(frozen=True)
@@ -158,8 +158,9 @@ def redact_stage(spark, docs, sf_dir, mask: str = "[SECRET]"):
     ``n_chars`` is counted anew where it was the text's length. Null texts stay null.
     """
     rows, _ = scan_documents(docs)
+    key, blob, own, found, clean = (free_name(docs, f"_{x}") for x in ("key", "blob", "own", "found", "clean"))
     # Rows of one id may differ in text, so the blob belongs to the key.
-    hits = rows.filter(F.size("found") > 0).select(F.col("doc_id").alias("_id"), F.col("blob").alias("_blob"), "found").dropDuplicates(["_id", "_blob"])
+    hits = rows.filter(F.size("found") > 0).select(F.col("doc_id").alias(key), F.col("blob").alias(blob), F.col("found").alias(found)).dropDuplicates([key, blob])
     text = F.col("text")
 
     def cut(acc, s):
@@ -172,12 +173,18 @@ def redact_stage(spark, docs, sf_dir, mask: str = "[SECRET]"):
 
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     rest = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
-    clean = F.when(F.col("found").isNull(), text).otherwise(F.aggregate("found", begin, cut, rest))
-    same = F.sha2(text_of(text).cast("binary"), 256)
-    joined = docs.withColumn("_b", same).join(hits, (F.col("doc_id").eqNullSafe(F.col("_id"))) & (F.col("_b") == F.col("_blob")), "left")
-    out = joined.withColumn("_clean", clean)
-    cols = [F.col("_clean").alias(c) if c == "text" else F.when(F.col("found").isNull(), F.col(c)).otherwise(F.length("_clean")).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return out.select(*cols)
+    masked = F.when(F.col(found).isNull(), text).otherwise(F.aggregate(found, begin, cut, rest))
+    joined = docs.withColumn(own, F.sha2(text_of(text).cast("binary"), 256))
+    joined = joined.join(hits, F.col("doc_id").eqNullSafe(F.col(key)) & (F.col(own) == F.col(blob)), "left").withColumn(clean, masked)
+
+    def column(name):
+        if name == "text":
+            return F.col(clean).alias(name)
+        if name == "n_chars":
+            return F.when(F.col(found).isNull(), F.col(name)).otherwise(F.length(clean)).cast(docs.schema[name].dataType).alias(name)
+        return F.col(f"`{name}`")
+
+    return joined.select(*map(column, docs.columns))
 
 
 QUERIES = {"op10_secret_scans": op10_secret_scans}

@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldlake.llm.common import documents, saved, text_of
+from foldlake.llm.common import documents, free_name, saved, text_of
 
 MAX_BYTES = 1 << 20
 BITS = 32
@@ -101,8 +101,9 @@ def assign(docs: DataFrame, max_bytes: int = MAX_BYTES, id_col: str = "doc_id",
 
 def write_shards(docs: DataFrame, path: str, max_bytes: int = MAX_BYTES) -> None:
     """Write the documents as Parquet with a folder for each shard. Ids must be distinct."""
-    placed = assign(docs, max_bytes).select(F.col("doc_id").alias("_id"), "shard")
-    docs.join(placed, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id").repartition("shard").write.partitionBy("shard").parquet(path)
+    key, shard = free_name(docs, "_key"), free_name(docs, "shard")
+    placed = assign(docs, max_bytes).select(F.col("doc_id").alias(key), F.col("shard").alias(shard))
+    docs.join(placed, F.col("doc_id").eqNullSafe(F.col(key))).drop(key).repartition(shard).write.partitionBy(shard).parquet(path)
 
 
 def op7_extendible_sharding(spark, sf_dir):
