@@ -283,5 +283,21 @@ def keep_one_stage(spark, docs, sf_dir):
     return own.unionByName(docs.filter("doc_id IS NULL")).select(*docs.columns)
 
 
+#: Every pair by shared shingles: for small tables only, as it makes a row for each pair that shares one.
+SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [text] WHEN len(w) < {WIDTH} THEN [array_to_string(w, ' ')]
+        ELSE list_transform(generate_series(1, len(w) - {WIDTH - 1}), lambda i: array_to_string(w[i:i + {WIDTH - 1}], ' ')) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b, c = x.n AND c = y.n AS same FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= {THRESHOLD} * (x.n + y.n - c) - 1e-9),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, count(*) AS n_links, min(b) FILTER (WHERE same) AS twin, count(*) FILTER (WHERE same) AS twins FROM l GROUP BY a),
+m AS (SELECT a, min(b) AS least FROM r GROUP BY a)
+SELECT d.doc_id, least(d.doc_id, coalesce(m.least, d.doc_id)) AS class_id, coalesce(n_links, 0) AS n_links,
+  least(d.doc_id, coalesce(twin, d.doc_id)) AS copy_of, coalesce(twins, 0) + 1 AS n_copies
+FROM documents d LEFT JOIN c ON c.a = d.doc_id LEFT JOIN m ON m.a = d.doc_id
+"""
+
 QUERIES = {"op8_ngram_join": op8_ngram_join}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_ngram_join": SQL}

@@ -187,5 +187,24 @@ def redact_stage(spark, docs, sf_dir, mask: str = "[SECRET]"):
     return joined.select(*map(column, docs.columns))
 
 
+def _rule_sql(rule: Rule, order: int) -> str:
+    """(r, start, ord, kind, stop, base) of one rule: the same gaps and matches, in DuckDB's functions."""
+    pattern = rule.pattern.replace("'", "''")
+    return f"""SELECT r, list_sum(list_transform(gaps[1:i], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0)::BIGINT AS start,
+  {order} AS ord, '{rule.kind}' AS kind, length(hits[i]) AS n, {str(rule.base).lower()} AS base
+FROM (SELECT r, string_split_regex(text, '{pattern}') AS gaps, regexp_extract_all(text, '{pattern}', 0) AS hits, regexp_extract_all(text, '{pattern}', {rule.group}) AS groups FROM t WHERE regexp_matches(text, '{pattern}')) AS x{order}, unnest(generate_series(1, len(hits))) AS g{order}(i)
+WHERE length(groups[i]) >= {rule.least}"""
+
+
+SQL = f"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+s AS ({" UNION ALL ".join(_rule_sql(r, i) for i, r in enumerate(RULES))}),
+f AS (SELECT r, string_agg(kind || ':' || start || ':' || start + n, ',' ORDER BY start, ord) AS spans,
+        string_agg(kind || ':' || start || ':' || start + n, ',' ORDER BY start, ord) FILTER (WHERE base) AS base_spans,
+        {", ".join(f"count(*) FILTER (WHERE kind = '{r.kind}') AS n_{r.kind}" for r in BASE_RULES)} FROM s GROUP BY r)
+SELECT doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in BASE_RULES)}, sha256(coalesce(base_spans, '')) AS base_sha256,
+  coalesce(spans, '') AS spans, sha256(text) AS blob FROM t LEFT JOIN f ON t.r = f.r
+"""
+
 QUERIES = {"op10_secret_scans": op10_secret_scans}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op10_secret_scans": SQL}
