@@ -26,11 +26,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldlake.llm.common import documents, fold_of
+from foldlake.llm.common import documents, fold_of, free_name
 from foldlake.llm.words import WordScores, features_of, words_of
 
 DIMS = 1 << 16
-MAX_ROWS = 2500
+MAX_ROWS = 1500
 
 # Groups of terms that stand for one another.
 IDENTITY_TERMS = (
@@ -76,13 +76,18 @@ class Model:
 
 
 class _Rows:
-    """Sparse rows of feature counts: product with weights, and its transpose."""
+    """Sparse rows of feature counts in flat arrays: product with weights, and its transpose."""
 
-    def __init__(self, rows: list[dict[int, float]], dims: int):
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], dims: int):
         self.n, self.dims = len(rows), dims
-        self.row = np.repeat(np.arange(self.n), [len(r) for r in rows])
-        self.col = np.fromiter((c for r in rows for c in r), np.int64, len(self.row))
-        self.val = np.fromiter((v for r in rows for v in r.values()), float, len(self.row))
+        self.row = np.repeat(np.arange(self.n, dtype=np.int32), [len(c) for c, _ in rows])
+        self.col = np.concatenate([c for c, _ in rows]) if rows else np.zeros(0, np.int32)
+        self.val = np.concatenate([v for _, v in rows]) if rows else np.zeros(0, np.float32)
+
+    def keep(self, columns: np.ndarray) -> None:
+        """Drop the entries of other columns."""
+        m = columns[self.col]
+        self.row, self.col, self.val = self.row[m], self.col[m], self.val[m]
 
     def dot(self, w):
         return np.bincount(self.row, self.val * w[self.col], self.n)
@@ -91,12 +96,17 @@ class _Rows:
         return np.bincount(self.col, self.val * x[self.row], self.dims)
 
 
-def _counts(words, dims: int, sign: float = 1.0, into: dict | None = None) -> dict[int, float]:
-    into = {} if into is None else into
-    for w in set(words):
-        for f in features_of(w, dims):
-            into[f] = into.get(f, 0.0) + sign
-    return into
+def _counts(words, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """(features, how many of the distinct words have them)."""
+    cols, n = np.unique(np.fromiter((f for w in set(words) for f in features_of(w, dims)), np.int32), return_counts=True)
+    return cols, n.astype(np.float32)
+
+
+def _difference(a, b, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    (ca, na), (cb, nb) = _counts(a, dims), _counts(b, dims)
+    cols, where = np.unique(np.concatenate([ca, cb]), return_inverse=True)
+    v = np.bincount(where, np.concatenate([na, -nb])).astype(np.float32)
+    return cols[v != 0], v[v != 0]
 
 
 def fit(texts, labels, groups=IDENTITY_TERMS, dims: int = DIMS, l1: float = 1e-2, fairness: float = 1.0, steps: int = 150, least: int = 3) -> Model:
@@ -105,18 +115,16 @@ def fit(texts, labels, groups=IDENTITY_TERMS, dims: int = DIMS, l1: float = 1e-2
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.5
         return Model(np.zeros(dims), float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
-    counted = [_counts(words_of(t), dims) for t in texts]
-    met = np.bincount(np.fromiter((f for r in counted for f in r), np.int64), minlength=dims)
-    rows = _Rows([{f: v for f, v in r.items() if met[f] >= least} for r in counted], dims)
-    pairs = [p for t in texts for p in counterfactuals(t, groups)]
-    swaps = _Rows([_counts(b, dims, -1.0, _counts(a, dims)) for a, b in pairs], dims)
+    rows = _Rows([_counts(words_of(t), dims) for t in texts], dims)
+    rows.keep(np.bincount(rows.col, minlength=dims) >= least)
+    swaps = _Rows([_difference(a, b, dims) for t in texts for a, b in counterfactuals(t, groups)], dims)
     share = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     # Common features get shorter steps: each is scaled by its root mean square.
     scale = np.sqrt(np.bincount(rows.col, rows.val**2, dims) / rows.n)
     scale[scale == 0] = 1.0
-    rows.val /= scale[rows.col]
+    rows.val /= scale[rows.col].astype(np.float32)
     if swaps.n:
-        swaps.val /= scale[swaps.col]
+        swaps.val /= scale[swaps.col].astype(np.float32)
     # Lipschitz bound by power iteration.
     v = np.random.default_rng(7).normal(size=dims)
     for _ in range(12):
@@ -157,8 +165,8 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = MAX_ROWS) -> Mode
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with a column ``score``, or ``_score`` if that name is taken."""
-    name = "score" if "score" not in {c.lower() for c in docs.columns} else "_score"
+    """``docs`` with a column ``score``, with underscores before it if that name is taken."""
+    name = free_name(docs, "score")
     keep = np.flatnonzero(model.weights)
     sparse, bias, dims = (keep, model.weights[keep]), model.bias, len(model.weights)
 
@@ -169,7 +177,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         for texts in batches:
             yield pd.Series(m.squash([sums(set(words_of(t))) for t in texts]))
 
-    return docs.withColumn(name, F.pandas_udf(_evaluated(rate), "double")(F.col(text_col)))
+    return docs.withColumn(name, F.pandas_udf(_evaluated(rate), "double").asNondeterministic()(F.col(text_col)))
 
 
 def _evaluated(f):
