@@ -31,7 +31,9 @@ import os
 import re
 import struct
 import uuid
+from array import array
 from collections.abc import Iterator
+from itertools import islice
 from zlib import crc32
 
 import numpy as np
@@ -191,40 +193,91 @@ class Reader:
 
 
 class Encoder:
-    """Token ids of texts by a tokenizers file, as bytes of 16- or 32-bit ids.
+    """Token ids of texts by a tokenizer, as bytes of 16- or 32-bit ids.
 
-    A byte-level tokenizer cuts a text before each single space, and around each single line
-    feed, that stands between other characters. So such pieces are encoded on their own, once,
-    and kept; a text with any other white space is encoded whole.
+    A byte-level tokenizer cuts a text before each single space, around each single line feed that
+    stands between other characters, and between a letter or digit and a full stop or comma. So
+    such pieces are encoded on their own, once, and kept; a text with any other white space, or
+    with such a mark after another, is encoded whole. A piece that begins with a mark is kept
+    under a key that begins with ``MARK``.
     """
 
-    ODD = re.compile(r"\s\s|[^\S \n]|\A\s|\s\Z")
-    CACHE = 400_000
+    MARK = "\x01"
+    #: A full stop or comma that follows no letter or digit.
+    ODD = re.compile(r"[.,](?<![^\W_].)")
+    #: Pieces kept in each of two generations.
+    CACHE = 500_000
 
-    def __init__(self, path: str, width: int):
+    def __init__(self, tokenizer: str, width: int):
+        """``tokenizer``: the text of a tokenizers file."""
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_str(tokenizer)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.kind, self.kept = np.dtype(f"<u{width}"), {}
+        self.code, self.width = {2: "H", 4: "I"}[width], width
+        self.opening: dict[str, bytes] = {}  # pieces that open a line
+        self.spaced: dict[str, bytes] = {}  # pieces after a space, without it
+        self.older: dict[str, bytes] = {}  # those of the generation before
+        self.feed = self._whole(["a\nb"])[0][width:-width]
+        self.feed_id = int.from_bytes(self.feed, "little")
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        code = self.code
+        return [array(code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, kept: dict[str, bytes], fresh: set[str], lead: str, group: int = 500) -> None:
+        """Encode pieces, many in one text with line feeds between them, whose id cuts the ids apart again."""
+        words, glue = list(fresh), "\n" + lead
+        groups = [words[i : i + group] for i in range(0, len(words), group)]
+        for part, ids in zip(groups, self._whole([(lead + glue.join(g)).replace(self.MARK, "") for g in groups]), strict=True):
+            at = np.flatnonzero(np.frombuffer(ids, self.code) == self.feed_id) * self.width
+            starts, ends = [0, *(at + self.width).tolist()], [*at.tolist(), len(ids)]
+            kept.update(zip(part, [ids[i:j] for i, j in zip(starts, ends, strict=True)], strict=True))
+
+    def _plain(self, t: str) -> bool:
+        """Whether the only white space is single spaces and line feeds inside the text, and marks stand after words."""
+        return (
+            t.replace("\n", "").isprintable()  # of white space, only the space is printable
+            and t[0] not in " \n"
+            and t[-1] not in " \n"
+            and not any(x in t for x in ("  ", "\n\n", " \n", "\n ", "<|"))
+            and self.ODD.search(t) is None
+        )
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        out, kept, cut = [b""] * len(texts), self.kept, {}
+        # Before a batch, all of whose pieces must then stay.
+        if len(self.spaced) > self.CACHE:
+            self.spaced, self.older = {}, self.spaced
+        if len(self.opening) > self.CACHE:
+            self.opening = {}
+        out, whole, cut = [b""] * len(texts), [], []
         for i, t in enumerate(texts):
-            if t and self.ODD.search(t) is None and "<|" not in t:
-                cut[i] = t.replace("\n", " \n").replace(" ", "\x00 ").replace("\x00 \n", "\x00\n\x00").split("\x00") if "\x00" not in t else None
-        whole = [i for i, t in enumerate(texts) if t and cut.get(i) is None]
-        if len(kept) > self.CACHE:
-            kept.clear()
-        fresh = list({p for pieces in cut.values() if pieces for p in pieces}.difference(kept))
-        kept.update(zip(fresh, self._whole(fresh), strict=True))
-        for i, pieces in cut.items():
-            if pieces:
-                out[i] = b"".join(map(kept.__getitem__, pieces))
+            if t:
+                if not self._plain(t):
+                    whole.append(i)
+                else:
+                    t = t.replace(".", " \x01.").replace(",", " \x01,")
+                    cut.append((i, [line.split(" ") for line in t.split("\n")]))
+        opening, spaced = self.opening, self.spaced
+        self._learn(opening, {p[0] for _, lines in cut for p in lines}.difference(opening), "")
+        find, fresh, parts = spaced.get, set(), []
+        for _, lines in cut:
+            found = [list(map(find, islice(p, 1, None))) for p in lines]
+            parts.append(found)
+            for p, f in zip(lines, found, strict=True):
+                if None in f:
+                    fresh.update(w for w, b in zip(islice(p, 1, None), f, strict=True) if b is None)
+        kept_before = fresh & self.older.keys()
+        spaced.update((w, self.older[w]) for w in kept_before)
+        fresh -= kept_before
+        marked = {w for w in fresh if w[:1] == self.MARK}
+        self._learn(spaced, fresh - marked, " ")
+        self._learn(spaced, marked, "")
+        for (i, lines), found in zip(cut, parts, strict=True):
+            out[i] = self.feed.join(
+                [opening[p[0]] + b"".join([spaced[w] if b is None else b for w, b in zip(islice(p, 1, None), f, strict=True)] if None in f else f) for p, f in zip(lines, found, strict=True)]
+            )
         for i, b in zip(whole, self._whole([texts[i] for i in whole]), strict=True):
             out[i] = b
         return out
@@ -242,11 +295,13 @@ MANIFEST = "shard string, entries long, ids long, first string, last string"
 
 def build(docs: DataFrame, tokenizer: str, folder: str, shard_bytes: int = 16 << 20, width: int = 2) -> DataFrame:
     """Write shards under ``folder``; their manifest, in id order by ``place``."""
+    with open(tokenizer, encoding="utf-8") as f:
+        vocabulary = f.read()  # goes to the tasks, whose machines need not have the file
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(F.col("text")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, end = Encoder(tokenizer, width), END.to_bytes(width, "little")
+        encoder, end = Encoder(vocabulary, width), END.to_bytes(width, "little")
         name = f"{folder}/shard-{uuid.uuid4().hex}.sst"
         writer = file = None
         first = last = None
