@@ -149,7 +149,7 @@ class _Block:
         self.node.append(r.node)
         self.weight.append(r.weight)
         self.side.append(r.side)
-        self.buckets.append(np.sort(np.asarray(r.buckets)))
+        self.buckets.append(np.asarray(r.buckets))
         self.sets.append(np.frombuffer(r.shingles, np.uint64))
 
     def links(self, bucket: int, first: int, second: int, threshold: float) -> np.ndarray:
@@ -175,10 +175,12 @@ class _Block:
         if first != second:
             side = np.array(self.side)
             ok &= side[:, None] != side[None, :]
-        for i, j in np.argwhere(np.triu(ok)):
-            both = np.intersect1d(self.buckets[i], self.buckets[j], assume_unique=True)
-            if both[0] != bucket:  # another bucket has this pair
-                ok[i, j] = ok[j, i] = False
+        # A pair that shares a lesser bucket is verified there.
+        lesser = [b[b < bucket] for b in self.buckets]
+        values, ids = np.unique(np.concatenate(lesser), return_inverse=True)
+        member = np.zeros((n, len(values)), np.float32)
+        member[np.repeat(np.arange(n), [len(b) for b in lesser]), ids] = 1
+        ok &= member @ member.T == 0
         return ok
 
     def results(self, bucket: int, first: int, second: int, threshold: float) -> list[tuple[int, int | None, int]]:
