@@ -35,7 +35,7 @@ DIMS = 1 << 15
 MAX_DOCS = 250
 MAX_LANGS = 64
 #: Words kept with their emission scores in each Python worker.
-CACHE = 300_000
+CACHE = 600_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
