@@ -3,7 +3,7 @@
 1. toxicity: documents with a toxicity score of 0.5 or more go.
 2. near_duplicates: of each group of documents that are linked by a Jaccard similarity of 0.8 or more of
    their five-word shingles, the one with the least id stays.
-3. decontamination: documents with a passage of a benchmark item go.
+3. decontamination: documents with a passage of a benchmark item (47 characters or more, verbatim or nearly) go.
 4. secrets: spans found by the secret scan are masked.
 5. packing: length buckets and token-budget batches of the documents that are left.
 

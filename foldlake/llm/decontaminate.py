@@ -8,10 +8,12 @@ so that any match lies in one of them. Regions that reach the count are retained
 an alignment banded to their diagonals.
 
 Texts are normalised first: lower case, and every run of characters other than letters and digits is one space.
-Patterns are the windows of ``WINDOW`` characters, ``STRIDE`` apart (the last one flush with the
-end), of each benchmark item, or the whole item if that is shorter; so a passage of an item is
-found too. ``RATE`` of a pattern's characters may be edits. An item of under ``Q`` characters
-must appear exactly, as whole words.
+Patterns are windows of each benchmark item (the last one flush with the end), or the whole item if
+that is shorter: those of ``WINDOW`` characters, ``STRIDE`` apart, of which ``RATE`` may be edits, and
+the shorter and denser ones of ``PASSAGES``. So any verbatim passage of ``PASSAGE`` characters
+(normalised, from any offset that is no space) holds a whole window and is found. An item of under
+``Q`` characters must appear exactly, as whole words. Grams are kept once for an item and counted for
+its windows only where an item and band have enough of them.
 
 The benchmark goes to the tasks in blocks of at most ``BLOCK_CHARS`` characters, each a closure of
 that proven size; documents are read once for a block and never shuffled.
@@ -25,7 +27,7 @@ texts of any length are searched whole; columns other than those named are passe
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,6 +41,9 @@ Q = 10
 WINDOW = 100
 STRIDE = 50
 RATE = 0.08
+#: (size, stride, rate of edits) of the windows for parts of items: short ones are to be nearly verbatim.
+PASSAGES = ((60, 10, RATE), (44, 4, RATE / 2))
+PASSAGE = min(size + stride - 1 for size, stride, _ in PASSAGES)
 BLOCK_CHARS = 4_000_000
 GAP = re.compile(r"[\W_]+")
 
@@ -118,17 +123,62 @@ class Pattern:
     text: str
     codes: np.ndarray
     budget: int
-    need: int
     shift: int  # bands start every 2**shift diagonals and are twice as wide
 
 
+class Windows(Sequence):
+    """The windows of one size of all items, made when asked for."""
+
+    def __init__(self, items: list[tuple[int, str]], bases: list[int], size: int, stride: int, rate: float = RATE, words: bool = False):
+        self.items, self.rate, self.shift = items, rate, max(3, edit_budget(size, rate).bit_length())
+        # A text does not begin with a space, so a window that would starts a character before (``words``).
+        starts = [[s - (words and t[s] == " " and s + size < len(t)) for s, _ in windows(t, size, stride)] for _, t in items]
+        if words:  # whole items are patterns already
+            starts = [s if len(t) > size else [] for s, (_, t) in zip(starts, items, strict=True)]
+        self.count = np.array([len(s) for s in starts], np.int64)
+        self.first = np.cumsum(self.count) - self.count
+        self.owner = np.repeat(np.arange(len(items)), self.count)
+        self.start = np.array([s for part in starts for s in part], np.int64)
+        self.begin = self.start + np.array(bases, np.int64)[self.owner]
+        self.size = np.array([min(size, len(t)) for _, t in items], np.int64)
+        # The least grams that a match shares with a window; the windows of an item are of one length.
+        self.need = np.array([m + 1 - Q * (edit_budget(m, rate) + 1) for m in self.size.tolist()], np.int64)
+        self.need[self.count == 0] = 1 << 40
+
+    def __len__(self) -> int:
+        return len(self.start)
+
+    def __getitem__(self, k: int) -> Pattern:
+        if not 0 <= k < len(self):
+            raise IndexError(k)
+        o, start = int(self.owner[k]), int(self.start[k])
+        item, text = self.items[o]
+        text = text[start : start + int(self.size[o])]
+        return Pattern(item, start, text, _codes(text), edit_budget(len(text), self.rate), self.shift)
+
+
+class Patterns(Sequence):
+    """Windows of several sizes, numbered through."""
+
+    def __init__(self, kinds: list[Windows]):
+        self.kinds = kinds
+        self.offsets = [sum(map(len, kinds[:i])) for i in range(len(kinds))]
+
+    def __len__(self) -> int:
+        return sum(map(len, self.kinds))
+
+    def __getitem__(self, k: int) -> Pattern:
+        i = max(i for i, at in enumerate(self.offsets) if at <= k)
+        return self.kinds[i][k - self.offsets[i]]
+
+
 class Matcher:
     """Finds the patterns of a block of benchmark items in batches of texts."""
 
     BITS = 22
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.patterns, self.short = [], []
+        self.short, long, bases, chars = [], [], [], 0
         grams, owners, places = [], [], []
         for item, text in items:
             t = normal(text)
@@ -137,16 +187,18 @@ class Matcher:
             if len(t) < Q:
                 self.short.append((item, f" {t} "))
                 continue
-            for start, w in windows(t):
-                e = edit_budget(len(w))
-                codes = _codes(w)
-                g = _grams(codes)
-                grams.append(g)
-                owners.append(np.full(len(g), len(self.patterns)))
-                places.append(np.arange(len(g)))
-                self.patterns.append(Pattern(item, start, w, codes, e, len(w) + 1 - Q * (e + 1), max(3, e.bit_length())))
+            g = _grams(_codes(t))
+            grams.append(g)
+            owners.append(np.full(len(g), len(long), np.int32))
+            places.append(np.arange(len(g), dtype=np.int32))
+            long.append((item, t))
+            bases.append(chars)
+            chars += len(t)
+        kinds = [Windows(long, bases, WINDOW, STRIDE), *(Windows(long, bases, *p, words=True) for p in PASSAGES)]
+        self.patterns = Patterns(kinds if long else [])
         if not grams:
             return
+        self.base, self.chars, self.far = np.array(bases, np.int64), chars, max(len(t) for _, t in long)
         g = np.concatenate(grams)
         order = np.argsort(g, kind="stable")
         self.owner, self.place = np.concatenate(owners)[order], np.concatenate(places)[order]
@@ -154,11 +206,9 @@ class Matcher:
         self.count = np.diff(np.append(self.first, len(g)))
         self.mask = np.zeros(1 << self.BITS, bool)
         self.mask[(self.grams >> np.uint64(64 - self.BITS)).astype(np.int64)] = True
-        self.shifts = np.array([p.shift for p in self.patterns])
-        self.needs = np.array([p.need for p in self.patterns])
 
     def _hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(position, index of a known gram) of the text's grams that the patterns have."""
+        """(position, index of a known gram) of the text's grams that the items have."""
         g = _grams(codes)
         pos = np.flatnonzero(self.mask[(g >> np.uint64(64 - self.BITS)).astype(np.int64)])
         k = np.minimum(np.searchsorted(self.grams, g[pos]), len(self.grams) - 1)
@@ -172,22 +222,43 @@ class Matcher:
             return []
         each = self.count[k]
         spread = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat(self.first[k], each)
-        owner = self.owner[spread]
-        diagonal = np.repeat(pos, each) - self.place[spread] + WINDOW  # never negative
-        band = diagonal >> self.shifts[owner]
-        wide = np.int64(1) << 32
-        # Each hit counts for the band that starts in its cell and for the one before.
-        cell = np.concatenate([owner * wide + band + 1, owner * wide + band])
-        # A gram of the pattern counts once in a band, however often the text repeats it.
-        key, n = np.unique(np.unique(cell * 128 + np.tile(self.place[spread], 2)) >> 7, return_counts=True)
-        who = key // wide
-        good = n >= self.needs[who]
+        owner, place = self.owner[spread].astype(np.int64), self.place[spread].astype(np.int64)
+        diagonal = np.repeat(pos, each) - place + self.far  # of the item; never negative
         out = []
-        for o, b in zip(who[good].tolist(), (key[good] % wide).tolist(), strict=True):
-            low = ((b - 1) << self.patterns[o].shift) - WINDOW
-            out.append((o, low, low + (2 << self.patterns[o].shift) - 1))
+        for kind, offset in zip(self.patterns.kinds, self.patterns.offsets, strict=True):
+            out += self._bands(kind, offset, owner, place, diagonal)
         return out
 
+    def _bands(self, kind: Windows, offset: int, owner: np.ndarray, place: np.ndarray, diagonal: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        wide = np.int64(1) << 32
+        cell = owner * wide + (diagonal >> kind.shift) + 1
+        seen, at, n = np.unique(cell, return_inverse=True, return_counts=True)
+        # The band that starts in a cell has the hits of that cell and of the next.
+        follows = np.append(seen[1:] == seen[:-1] + 1, False)
+        precedes = np.append(False, follows[:-1])
+        need = kind.need[seen // wide]
+        after = n + np.where(follows, np.append(n[1:], 0), 0) >= need
+        before = n + np.where(precedes, np.append(0, n[:-1]), 0) >= need
+        both = np.concatenate([np.flatnonzero(after[at]), np.flatnonzero(before[at])])
+        if not len(both):
+            return
+        # A band is named by the cell it starts in, plus one.
+        band = np.concatenate([cell[after[at]], cell[before[at]] - 1])
+        names, band = np.unique(band, return_inverse=True)
+        # A gram of the item counts once in a band, however often the text repeats it.
+        once = np.unique(band * self.chars + self.base[owner[both]] + place[both])
+        band, begin = once // self.chars, once % self.chars
+        item = names[band] // wide
+        low = np.maximum(np.searchsorted(kind.begin, begin - (kind.size[item] - Q)), kind.first[item])
+        each = np.searchsorted(kind.begin, begin, side="right") - low
+        window = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat(low, each)
+        key, n = np.unique(np.repeat(band, each) * len(kind) + window, return_counts=True)
+        band, window = key // len(kind), key % len(kind)
+        good = n >= kind.need[kind.owner[window]]
+        for b, o in zip((names[band[good]] % wide).tolist(), window[good].tolist(), strict=True):
+            lowest = ((b - 1) << kind.shift) - self.far + int(kind.start[o])
+            yield offset + o, lowest, lowest + (2 << kind.shift) - 1
+
     def search(self, texts: list[str]) -> list[list[tuple[int, int, int, int]]]:
         """For each normalised text, (item, start, end, edits) of its matches, the best of each pattern."""
         found: list[list] = [[] for _ in texts]
@@ -209,12 +280,13 @@ class Matcher:
             best: dict[tuple[int, int], tuple[int, int, int]] = {}
             todo: list[tuple[int, int, int, int, int]] = []
             for o, low, high in self.regions(codes):
-                m = len(self.patterns[o].text)
+                text = self.patterns[o].text
+                m = len(text)
                 for d in range(int(np.searchsorted(ends, max(0, low), side="right")), min(len(ends) - 1, int(np.searchsorted(ends, high + m, side="right"))) + 1):
                     if best.get((o, d), (1,))[0] == 0:
                         continue
                     begin, end = (int(ends[d - 1]) if d else 0), int(ends[d]) - 1
-                    exact = joined.find(self.patterns[o].text, max(begin, low), max(begin, min(end, high + m)))
+                    exact = joined.find(text, max(begin, low), max(begin, min(end, high + m)))
                     if exact >= 0:
                         best[o, d] = (0, exact - begin, exact - begin + m)
                     else:
@@ -227,11 +299,12 @@ class Matcher:
 
     def _align(self, todo: list[tuple[int, int, int, int, int]], codes: np.ndarray, best: dict) -> None:
         """Verify regions (pattern, text, lowest diagonal, begin, end), those of one band width together."""
-        for shift in {self.patterns[t[0]].shift for t in todo}:
-            same = [t for t in todo if self.patterns[t[0]].shift == shift]
+        kept = {o: self.patterns[o] for o in {t[0] for t in todo}}
+        for shift in {p.shift for p in kept.values()}:
+            same = [t for t in todo if kept[t[0]].shift == shift]
             for k in range(0, len(same), 256):
                 part = same[k : k + 256]
-                ps = [self.patterns[t[0]] for t in part]
+                ps = [kept[t[0]] for t in part]
                 low, begin, end = (np.array([t[i] for t in part], np.int64) for i in (2, 3, 4))
                 edits, stops = banded_alignments([p.codes for p in ps], codes, low, 2 << shift, begin, end)
                 for (o, d, _, b, _), p, e, stop in zip(part, ps, edits.tolist(), stops.tolist(), strict=True):

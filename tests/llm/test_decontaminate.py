@@ -101,3 +101,15 @@ def test_query_finds_contained_items(spark):
     kept = D.filter_stage(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)
     assert {r.doc_id for r in kept.select("doc_id").collect()} == {d.doc_id for d in docs} - {d for d, _ in got}
     assert kept.filter(F.col("text").isNull()).count() == 0
+
+
+def test_verbatim_passages_at_every_offset():
+    """Any passage of PASSAGE characters is found, wherever it starts in the item and in the document."""
+    item = D.normal(prose(120))
+    m = D.Matcher([(1, prose(80)), (7, item), (9, item[:200])])
+    for at in range(len(item) - D.PASSAGE + 1):
+        passage = item[at : at + D.PASSAGE]
+        if passage != passage.strip():
+            continue
+        text = D.normal(f"{prose(rng.randint(0, 40))} {passage} {prose(9)}")
+        assert any(i == 7 and e == 0 for i, _, _, e in m.search([prose(20), text])[1]), at
