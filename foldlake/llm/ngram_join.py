@@ -228,6 +228,15 @@ def _result(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame({"node": pd.array(node, "int64"), "other": pd.array(other, "Int64"), "links": pd.array(links, "int64")})
 
 
+def distinct_buckets(spread: DataFrame) -> DataFrame:
+    """(bucket, n) of the buckets that two nodes or more of ``spread`` (node, bucket) met in, one of those with equal members.
+
+    Members are told by their number and two exclusive ors of hashes, which no number of rows can overflow.
+    """
+    met = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "node")).alias("y"))
+    return met.filter("n > 1").groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
+
+
 def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """(doc_id, class_id, n_links, copy_of, n_copies) for every row.
 
@@ -243,9 +252,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL)
     # Nodes are classes; a 64-bit hash of the digest names one, as two texts may have one id.
     node = F.xxhash64("digest").alias("node")
     spread = classes.select(node, F.posexplode("bands").alias("band", "hash")).select("node", F.xxhash64("band", "hash").alias("bucket"))
-    met = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(F.shiftright("node", 8)).alias("s"), F.bit_xor(F.xxhash64("node")).alias("x")).filter("n > 1")
-    kept = met.groupBy("n", "s", "x").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
-    members = saved(spread.join(kept, "bucket"), "members")
+    members = saved(spread.join(distinct_buckets(spread), "bucket"), "members")
     of_node = members.groupBy("node").agg(F.collect_set("bucket").alias("buckets"))  # as many as bands at most
     named = classes.select(node, "digest", "rep", "weight")
     wanted = saved(named.join(of_node, "node"), "wanted")

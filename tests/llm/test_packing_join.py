@@ -149,3 +149,12 @@ def test_query_against_brute_force(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     assert result(J.op8_ngram_join(spark, sf)) == brute(rows)
     assert F is not None
+
+
+def test_fingerprints_of_large_buckets(spark):
+    """Two equal buckets of 200,000 hashes are one and the third stays, under ANSI arithmetic, whatever the hashes."""
+    assert spark.conf.get("spark.sql.ansi.enabled") == "true"
+    nodes = spark.range(200_000).select((F.lit((1 << 63) - 1) - F.col("id")).alias("node"))
+    third = nodes.withColumn("node", F.when(F.col("node") == (1 << 63) - 1, 5).otherwise(F.col("node")))
+    spread = nodes.withColumn("bucket", F.explode(F.array(F.lit(1), F.lit(2)))).unionAll(third.withColumn("bucket", F.lit(3))).unionAll(spark.range(1).selectExpr("id", "4"))
+    assert sorted(map(tuple, J.distinct_buckets(spread).collect())) == [(1, 200_000), (3, 200_000)]
