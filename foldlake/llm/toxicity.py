@@ -117,7 +117,8 @@ def fit(texts, labels, groups=IDENTITY_TERMS, dims: int = DIMS, l1: float = 1e-2
         return Model(np.zeros(dims), float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
     rows = _Rows([_counts(words_of(t), dims) for t in texts], dims)
     rows.keep(np.bincount(rows.col, minlength=dims) >= least)
-    swaps = _Rows([_difference(a, b, dims) for t in texts for a, b in counterfactuals(t, groups)], dims)
+    others = max(map(len, groups), default=1) - 1  # every other term of a group
+    swaps = _Rows([_difference(a, b, dims) for t in texts for a, b in counterfactuals(t, groups, others)], dims)
     share = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     # Common features get shorter steps: each is scaled by its root mean square.
     scale = np.sqrt(np.bincount(rows.col, rows.val**2, dims) / rows.n)

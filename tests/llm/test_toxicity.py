@@ -72,3 +72,18 @@ def test_held_out_accuracy(spark):
     rows = T.op1_toxicity(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").filter("held_out").toPandas()
     assert ((rows.score >= 0.5).astype(int) == rows.toxic).mean() > 0.9
     assert (rows.predicted == (rows.score >= 0.5)).all()
+
+
+def test_fit_swaps_with_every_other_term(monkeypatch):
+    seen, real = set(), T._difference
+    monkeypatch.setattr(T, "_difference", lambda a, b, dims: seen.add(b[1]) or real(a, b, dims))
+    T.fit(["The women left.", "Nothing here."], [1, 0])
+    assert seen == set(T.IDENTITY_TERMS[0]) - {"women"}
+
+
+def test_production_weight_takes_weight_off_group_mentions():
+    texts, labels = corpus(400, True)
+    neutral = ["the muslim bread and water", "the christian bread and water"]
+    gap = lambda m: abs(np.subtract(*m.score(neutral)))
+    print(gap(T.fit(texts, labels, fairness=0.0)), gap(T.fit(texts, labels)))
+    assert gap(T.fit(texts, labels)) < 0.5 * gap(T.fit(texts, labels, fairness=0.0))
