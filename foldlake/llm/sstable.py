@@ -214,7 +214,6 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(tokenizer)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.code, self.width = {2: "H", 4: "I"}[width], width
         self.opening: dict[str, bytes] = {}  # pieces that open a line
         self.spaced: dict[str, bytes] = {}  # pieces after a space, without it

@@ -13,7 +13,6 @@ from tests.llm.conftest import ODD
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 PLAIN = Tokenizer.from_file(PATH)
-PLAIN.encode_special_tokens = True
 VOCABULARY = PLAIN.to_str()
 ENCODER = S.Encoder(VOCABULARY, 2)
 
@@ -28,6 +27,10 @@ def test_pieces_encode_as_the_whole(t):
     assert np.frombuffer(ENCODER([t])[0], "<u2").tolist() == ids(t)
 
 
+def test_special_token_strings_are_what_the_library_gives():
+    assert np.frombuffer(ENCODER(["hello <|endoftext|> world"])[0], "<u2").tolist() == [31373, 220, 50256, 995]
+
+
 def test_encoder_cache_limit():
     e = S.Encoder(VOCABULARY, 4)
     e.CACHE = 2
