@@ -19,10 +19,15 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    A session without one, as in a local test, gets a folder under /tmp for as long as the process lives.
+    A local session without one gets a folder under /tmp for as long as the process lives; on a
+    cluster that would be another folder on every machine, so there it is an error.
     """
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return where.rstrip("/") if where else _own_folder()
+    if where:
+        return where.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return _own_folder()
 
 
 @cache
@@ -32,12 +37,21 @@ def _own_folder() -> str:
     return f"file://{path}"
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """The full address of a fresh folder in the shared one, which is deleted when the driver's JVM ends."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return files.makeQualified(path).toString()
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a fresh table in the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs the tasks it ran, not the stages before.
     """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, name) + "/rows"
     schema = df.schema
     df.write.parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)

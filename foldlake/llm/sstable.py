@@ -20,29 +20,34 @@ writes one shard to the shared folder under a name of its own try; a manifest ro
 for it, so files of tries that were lost are never read. Reading streams block by block.
 
 Defined cases: a null text is the empty text: the end id alone; a null id comes before all
-others; rows with one id are separate entries, ordered by text; an empty table gives no shard
-and no row; a text of any length is one entry.
+others; rows with one id are separate entries, ordered by the first 64 characters of the text and
+then by its hash, and may lie in several shards; equal rows are entries of their own; an empty
+table gives no shard and no row; a text of any length is one entry, held whole by its task;
+columns other than the id and the text are ignored, whatever their names. The string of a special
+token in a text is that token, as the library's own call gives it.
 """
 
 from __future__ import annotations
 
 import bisect
+import json
 import os
 import re
 import struct
 import uuid
-from array import array
 from collections.abc import Iterator
-from itertools import islice
+from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldlake.llm.common import documents, saved, shared_dir, text_of
+from foldlake.llm.common import documents, new_folder, saved, text_of
 
 MAGIC = b"SSTIDS01"
 FOOTER = struct.Struct("<QQIIIIQQ8s")
@@ -192,14 +197,26 @@ class Reader:
         return out
 
 
+def _cuts_at_spaces(parts: dict) -> bool:
+    """Whether a tokenizers file is a plain byte-level one, whose pattern ``Encoder`` knows."""
+    pre, model = parts.get("pre_tokenizer") or {}, parts["model"]
+    byte_level = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+    return bool(byte_level and not parts.get("normalizer") and model["type"] == "BPE" and not model.get("dropout") and not model.get("continuing_subword_prefix"))
+
+
 class Encoder:
     """Token ids of texts by a tokenizer, as bytes of 16- or 32-bit ids.
 
     A byte-level tokenizer cuts a text before each single space, around each single line feed that
     stands between other characters, and between a letter or digit and a full stop or comma. So
-    such pieces are encoded on their own, once, and kept; a text with any other white space, or
-    with such a mark after another, is encoded whole. A piece that begins with a mark is kept
-    under a key that begins with ``MARK``.
+    such pieces are encoded on their own, once, and kept; texts are cut and put together by column
+    operations on whole batches. A text with any other white space, with such a mark after another,
+    or with the string of a special token is encoded whole, and so is every text if the
+    tokenizer is of another kind.
+
+    A piece stands under a key: the piece without its leading space, or with its line feed, or with
+    ``MARK`` before a full stop or comma. For a new piece of letters alone, which is one word for the
+    tokenizer, only the merges are run; other new pieces go through the whole tokenizer.
     """
 
     MARK = "\x01"
@@ -207,6 +224,8 @@ class Encoder:
     ODD = re.compile(r"[.,](?<![^\W_].)")
     #: Pieces kept in each of two generations.
     CACHE = 500_000
+    #: What Python calls letters below this, the tokenizer's pattern does too.
+    LETTERS = "\u0600"
 
     def __init__(self, tokenizer: str, width: int):
         """``tokenizer``: the text of a tokenizers file."""
@@ -214,25 +233,59 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(tokenizer)
-        self.code, self.width = {2: "H", 4: "I"}[width], width
-        self.opening: dict[str, bytes] = {}  # pieces that open a line
-        self.spaced: dict[str, bytes] = {}  # pieces after a space, without it
-        self.older: dict[str, bytes] = {}  # those of the generation before
-        self.feed = self._whole(["a\nb"])[0][width:-width]
-        self.feed_id = int.from_bytes(self.feed, "little")
+        self.kind, self.width = np.dtype(f"<u{width}"), width
+        parts = json.loads(tokenizer)
+        self.special = [t["content"] for t in parts.get("added_tokens") or []]
+        self.pieces = _cuts_at_spaces(parts)
+        if self.pieces:
+            # Printable bytes stand for themselves in the byte alphabet, the others from 256 on in their order.
+            own = {b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173}
+            self.alphabet = {chr(b): chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - own))}
+            line = {"type": "Split", "pattern": {"String": self.alphabet["\n"]}, "behavior": "Isolated", "invert": False}
+            bare = {**parts, "pre_tokenizer": line, "post_processor": None, "decoder": None, "added_tokens": []}
+            self.merges = Tokenizer.from_str(json.dumps(bare))
+            self.feed = self._whole(["a\nb"])[0][width:-width]
+            self.feed_id = int.from_bytes(self.feed, "little")
+            self.kept: dict[str, bytes] = {}
+            self.older: dict[str, bytes] = {}  # those of the generation before
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        code = self.code
-        return [array(code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, kept: dict[str, bytes], fresh: set[str], lead: str, group: int = 500) -> None:
-        """Encode pieces, many in one text with line feeds between them, whose id cuts the ids apart again."""
-        words, glue = list(fresh), "\n" + lead
-        groups = [words[i : i + group] for i in range(0, len(words), group)]
-        for part, ids in zip(groups, self._whole([(lead + glue.join(g)).replace(self.MARK, "") for g in groups]), strict=True):
-            at = np.flatnonzero(np.frombuffer(ids, self.code) == self.feed_id) * self.width
-            starts, ends = [0, *(at + self.width).tolist()], [*at.tolist(), len(ids)]
-            kept.update(zip(part, [ids[i:j] for i, j in zip(starts, ends, strict=True)], strict=True))
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _mapped(self, text: str) -> str:
+        """A text of letters, spaces and line feeds in the byte alphabet."""
+        text = text.encode().decode("latin-1")
+        for a, b in self.alphabet.items():
+            if a in " \n" or a > "\x7f":
+                text = text.replace(a, b)
+        return text
+
+    def _lines(self, keys: list[str], texts: list[str], bare: bool, group: int = 500) -> None:
+        """Keep new pieces: many are encoded as the lines of one text, whose line feeds' ids cut the ids apart again."""
+        groups = [texts[i : i + group] for i in range(0, len(texts), group)]
+        joined = ["\n".join(g) for g in groups]
+        if bare:
+            joined = [self._mapped(t) for t in joined]
+        at = 0
+        for g, e in zip(groups, (self.merges if bare else self.tokenizer).encode_batch_fast(joined, add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, self.kind)
+            raw, cuts = ids.tobytes(), (np.flatnonzero(ids == self.feed_id) * self.width).tolist()
+            for begin, end in zip([0, *[c + self.width for c in cuts]], [*cuts, len(raw)], strict=True):
+                key = keys[at]
+                self.kept[key] = self.feed + raw[begin:end] if key[0] == "\n" else raw[begin:end]
+                at += 1
+
+    def _learn(self, fresh: list[str]) -> None:
+        words, odd = [], []
+        for k in fresh:
+            if k in self.older:
+                self.kept[k] = self.older[k]
+            else:
+                core = k[1:] if k[0] == "\n" else k
+                (words if core.isalpha() and (core.isascii() or max(core) < self.LETTERS) else odd).append(k)
+        text = lambda k: k[1:] if k[0] in "\n\x01" else " " + k
+        self._lines(words, list(map(text, words)), True)
+        self._lines(odd, list(map(text, odd)), False)
 
     def _plain(self, t: str) -> bool:
         """Whether the only white space is single spaces and line feeds inside the text, and marks stand after words."""
@@ -240,86 +293,109 @@ class Encoder:
             t.replace("\n", "").isprintable()  # of white space, only the space is printable
             and t[0] not in " \n"
             and t[-1] not in " \n"
-            and not any(x in t for x in ("  ", "\n\n", " \n", "\n ", "<|"))
+            and not any(x in t for x in ("  ", "\n\n", " \n", "\n ", *self.special))
             and self.ODD.search(t) is None
         )
 
+    def _cut(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """(pieces of all texts, first piece of each text and the end). The first piece of a text is keyed as after a line feed."""
+        rows = ["\n" + t.replace(".", " \x01.").replace(",", " \x01,").replace("\n", " \n") for t in texts]
+        lists = pc.split_pattern(pa.array(rows, pa.large_string()), " ")
+        return lists.flatten().dictionary_encode(), lists.offsets.to_numpy()
+
+    def _known(self, pieces: pa.Array) -> list[bytes]:
+        """The ids of each distinct piece."""
+        if len(self.kept) > self.CACHE:
+            self.kept, self.older = {}, self.kept
+        keys = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self._learn([k for k in keys if k not in self.kept])
+        return list(map(self.kept.__getitem__, keys))
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        # Before a batch, all of whose pieces must then stay.
-        if len(self.spaced) > self.CACHE:
-            self.spaced, self.older = {}, self.spaced
-        if len(self.opening) > self.CACHE:
-            self.opening = {}
-        out, whole, cut = [b""] * len(texts), [], []
-        for i, t in enumerate(texts):
-            if t:
-                if not self._plain(t):
-                    whole.append(i)
-                else:
-                    t = t.replace(".", " \x01.").replace(",", " \x01,")
-                    cut.append((i, [line.split(" ") for line in t.split("\n")]))
-        opening, spaced = self.opening, self.spaced
-        self._learn(opening, {p[0] for _, lines in cut for p in lines}.difference(opening), "")
-        find, fresh, parts = spaced.get, set(), []
-        for _, lines in cut:
-            found = [list(map(find, islice(p, 1, None))) for p in lines]
-            parts.append(found)
-            for p, f in zip(lines, found, strict=True):
-                if None in f:
-                    fresh.update(w for w, b in zip(islice(p, 1, None), f, strict=True) if b is None)
-        kept_before = fresh & self.older.keys()
-        spaced.update((w, self.older[w]) for w in kept_before)
-        fresh -= kept_before
-        marked = {w for w in fresh if w[:1] == self.MARK}
-        self._learn(spaced, fresh - marked, " ")
-        self._learn(spaced, marked, "")
-        for (i, lines), found in zip(cut, parts, strict=True):
-            out[i] = self.feed.join(
-                [opening[p[0]] + b"".join([spaced[w] if b is None else b for w, b in zip(islice(p, 1, None), f, strict=True)] if None in f else f) for p, f in zip(lines, found, strict=True)]
-            )
+        out = [b""] * len(texts)
+        cut = [i for i, t in enumerate(texts) if t and self.pieces and self._plain(t)]
+        there = set(cut)
+        whole = [i for i, t in enumerate(texts) if t and i not in there]
         for i, b in zip(whole, self._whole([texts[i] for i in whole]), strict=True):
             out[i] = b
+        if cut:
+            pieces, first = self._cut([texts[i] for i in cut])
+            known = self._known(pieces)
+            ends = np.cumsum([0, *map(len, known)]) // self.width
+            ids = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(np.frombuffer(b"".join(known), self.kind))).take(pieces.indices)
+            flat, at = ids.flatten().to_numpy(), ids.offsets.to_numpy()[first].tolist()
+            for i, begin, end in zip(cut, at, at[1:], strict=False):
+                out[i] = flat[begin + 1 : end].tobytes()  # without the line feed
         return out
 
+    def count(self, texts: list[str]) -> np.ndarray:
+        """The number of ids of each text, without making them."""
+        out = np.zeros(len(texts), np.int64)
+        cut = [i for i, t in enumerate(texts) if t and self.pieces and self._plain(t)]
+        there = set(cut)
+        whole = [i for i, t in enumerate(texts) if t and i not in there]
+        out[whole] = [len(e.ids) for e in self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)]
+        if cut:
+            pieces, first = self._cut([texts[i] for i in cut])
+            sizes = np.array([len(b) for b in self._known(pieces)], np.int64) // self.width
+            out[cut] = np.add.reduceat(sizes[pieces.indices.to_numpy()], first[:-1]) - 1
+        return out
+
+
+@lru_cache(maxsize=1)
+def encoder(tokenizer: str, width: int) -> Encoder:
+    """One for a Python worker, so that what its tasks have learned stays."""
+    return Encoder(tokenizer, width)
+
+
+def vocabulary_of(tokenizer: str) -> tuple[str, int]:
+    """(text of a tokenizers file, width of its ids). The text goes to the tasks, whose machines need not have the file."""
+    with open(tokenizer, encoding="utf-8") as f:
+        text = f.read()
+    parts = json.loads(text)
+    top = max([*parts["model"]["vocab"].values(), *[t["id"] for t in parts.get("added_tokens") or []]])
+    return text, 2 if top < 1 << 16 else 4
+
 
 def _opened(path: str, mode: str):
     from pyarrow import fs
 
-    where, inner = fs.FileSystem.from_uri(path)
+    where, inner = fs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", path))
     return where.open_input_file(inner) if mode == "r" else where.open_output_stream(inner)
 
 
-MANIFEST = "shard string, entries long, ids long, first string, last string"
+MANIFEST = "place long, shard string, entries long, ids long, first string, last string"
 
 
-def build(docs: DataFrame, tokenizer: str, folder: str, shard_bytes: int = 16 << 20, width: int = 2) -> DataFrame:
+def build(docs: DataFrame, tokenizer: str, folder: str, shard_bytes: int = 16 << 20) -> DataFrame:
     """Write shards under ``folder``; their manifest, in id order by ``place``."""
-    with open(tokenizer, encoding="utf-8") as f:
-        vocabulary = f.read()  # goes to the tasks, whose machines need not have the file
+    vocabulary, width = vocabulary_of(tokenizer)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(F.col("text")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, end = Encoder(vocabulary, width), END.to_bytes(width, "little")
+        encode, end = encoder(vocabulary, width), END.to_bytes(width, "little")
         name = f"{folder}/shard-{uuid.uuid4().hex}.sst"
         writer = file = None
         first = last = None
         for b in batches:
             ids = [None if x is None else int(x) for x in b["id"]]
-            texts = b["text"].tolist()
-            for lo in range(0, len(texts), 256):
-                for doc_id, values in zip(ids[lo : lo + 256], encoder(texts[lo : lo + 256]), strict=True):
-                    if writer is None:
-                        file = _opened(name, "w")
-                        writer, first = Writer(file, width), key_of(doc_id)
-                    writer.add(last := key_of(doc_id), values + end)
+            for doc_id, values in zip(ids, encode(b["text"].tolist()), strict=True):
+                if writer is None:
+                    file = _opened(name, "w")
+                    writer, first = Writer(file, width), key_of(doc_id)
+                writer.add(last := key_of(doc_id), values + end)
         if writer is not None:
             writer.close()
             file.close()
-            yield pd.DataFrame({"shard": [name], "entries": [writer.entries], "ids": [writer.ids], "first": [first.hex()], "last": [last.hex()]})
+            place = TaskContext.get().partitionId()  # ranges are numbered in order
+            yield pd.DataFrame({"place": [place], "shard": [name], "entries": [writer.entries], "ids": [writer.ids], "first": [first.hex()], "last": [last.hex()]})
 
     parts = max(1, -(-size // shard_bytes))
-    ranged = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # A table may hold a third of its rows under one id, or as one text without an id: the text and the row's place cut such a run.
+    order = [F.col("doc_id").asc_nulls_first(), "_begin", F.xxhash64("text"), "_row"]
+    rows = rows.withColumn("_begin", F.substring("text", 1, 64)).withColumn("_row", F.monotonically_increasing_id())
+    ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     ranged = ranged.select(F.col("doc_id").cast("string").alias("id"), "text")  # pandas would make ids with a null floats
     spark = docs.sparkSession
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
@@ -330,17 +406,18 @@ def build(docs: DataFrame, tokenizer: str, folder: str, shard_bytes: int = 16 <<
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
 
 
+def starts(manifest: DataFrame, run: int = 4096) -> DataFrame:
+    """``manifest`` with ``start``: the ids in all shards before. Running sums within runs of shards, and over the runs' sums."""
+    rows = manifest.withColumn("_run", F.floor(F.col("place") / run))
+    sums = rows.groupBy("_run").agg(F.sum("ids").alias("_ids"))  # one row for 4,096 shards
+    past = Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("_run", F.coalesce(F.sum("_ids").over(past), F.lit(0)).alias("_past"))
+    own = Window.partitionBy("_run").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("_own", F.coalesce(F.sum("ids").over(own), F.lit(0))).join(sums, "_run").withColumn("start", F.col("_own") + F.col("_past")).drop("_own", "_past", "_run")
+
+
 def read(manifest: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32, shard), read back from the files of a manifest."""
-    spark = manifest.sparkSession
-    shards = sorted(manifest.collect(), key=lambda r: (bytes.fromhex(r["first"]), bytes.fromhex(r["last"])))  # one row a shard
-    offset, starts = 0, []
-    for r in shards:
-        starts.append((r["shard"], offset))
-        offset += r["ids"]
-    schema = "doc_id long, start long, n_tokens long, ids_crc32 long, shard string"
-    if not starts:
-        return spark.createDataFrame([], schema)
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -355,8 +432,9 @@ def read(manifest: DataFrame) -> DataFrame:
                             rows = []
                     yield _frame(rows, name)
 
-    listed = spark.createDataFrame(starts, "shard string, start long")
-    return listed.repartition(min(len(starts), 10000), "shard").mapInPandas(parse, schema)
+    listed = starts(manifest).select("shard", "start")
+    shards = max(1, min(manifest.count(), 10000))
+    return listed.repartition(shards, "shard").mapInPandas(parse, "doc_id long, start long, n_tokens long, ids_crc32 long, shard string")
 
 
 def _frame(rows: list[tuple], name: str) -> pd.DataFrame:
@@ -370,7 +448,7 @@ def lookup(manifest: DataFrame, doc_id: int | None) -> list[np.ndarray]:
     """The token ids of a document: the manifest names the shards whose range has it, each answers by binary search."""
     key = key_of(doc_id).hex()
     out = []
-    for r in manifest.filter((F.col("first") <= key) & (F.col("last") >= key)).collect():
+    for r in manifest.filter((F.col("first") <= key) & (F.col("last") >= key)).orderBy("place").collect():
         with _opened(r["shard"], "r") as file:
             out += Reader(file).lookup(doc_id)
     return out
@@ -379,16 +457,7 @@ def lookup(manifest: DataFrame, doc_id: int | None) -> list[np.ndarray]:
 def op4_token_ids(spark, sf_dir):
     import public_tokenizers
 
-    folder = f"{shared_dir(spark)}/sst-{uuid.uuid4().hex}"
-    made = _make_folder(spark, folder)
-    return read(build(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), made)).drop("shard")
-
-
-def _make_folder(spark, folder: str) -> str:
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
-    return folder if "://" in folder else f"file://{folder}"
+    return read(build(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), new_folder(spark, "sst"))).drop("shard")
 
 
 QUERIES = {"op4_token_ids": op4_token_ids}

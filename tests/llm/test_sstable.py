@@ -6,6 +6,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from foldlake.llm import sstable as S
@@ -31,6 +32,26 @@ def test_special_token_strings_are_what_the_library_gives():
     assert np.frombuffer(ENCODER(["hello <|endoftext|> world"])[0], "<u2").tolist() == [31373, 220, 50256, 995]
 
 
+def test_letters_are_letters_for_the_tokenizer():
+    """Each letter that the fast way takes does not end a word of the tokenizer's pattern."""
+    letters = [c for c in map(chr, range(ord(S.Encoder.LETTERS))) if c.isalpha()]
+    for c in letters:
+        assert len(PLAIN.pre_tokenizer.pre_tokenize_str(f" a{c}a")) == 1, c
+    assert [np.frombuffer(b, "<u2").tolist() for b in ENCODER([f"a{c} b{c}c" for c in letters])] == [ids(f"a{c} b{c}c") for c in letters]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(st.sampled_from("ab '.,\n\té日1<|endoftext|> "), max_size=30), max_size=6))
+def test_counts(texts):
+    assert ENCODER.count(texts).tolist() == [len(ids(t)) for t in texts]
+
+
+def test_other_tokenizers_encode_whole():
+    other = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    e = S.Encoder(other.to_str(), 2)
+    assert not e.pieces and np.frombuffer(e(["Some words, here."])[0], "<u2").tolist() == other.encode("Some words, here.", add_special_tokens=False).ids
+
+
 def test_encoder_cache_limit():
     e = S.Encoder(VOCABULARY, 4)
     e.CACHE = 2
@@ -83,7 +104,7 @@ def expected(rows):
 
 
 def test_odd_documents(spark, make):
-    folder = S._make_folder(spark, f"{S.shared_dir(spark)}/sst-test")
+    folder = S.new_folder(spark, "sst-test")
     m = S.build(make(ODD), PATH, folder, shard_bytes=100_000)
     got = sorted(((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in S.read(m).collect()), key=lambda r: r[1])
     assert got == expected(ODD)
@@ -91,6 +112,18 @@ def test_odd_documents(spark, make):
     assert S.read(S.build(make([]), PATH, folder)).count() == 0
 
 
+def test_runs_of_one_id_are_cut(spark, make):
+    """A third of the rows have no id and one text; they go to several shards and keep the order."""
+    rows = [(None, "the same words " * 20)] * 200 + [(7, f"text {i} " * 30) for i in range(200)] + [(i, "x y z") for i in range(100, 300)]
+    m = S.build(make(rows), PATH, S.new_folder(spark, "sst-test"), shard_bytes=4000)
+    got = sorted(((r.start, r.doc_id, r.n_tokens) for r in S.read(m).collect()))
+    assert m.count() > 20 and m.agg(F.max("entries")).first()[0] < 300
+    assert [g[1] for g in got] == [None] * 200 + [7] * 200 + list(range(100, 300))
+    assert all(a + n == b for (a, _, n), (b, _, _) in zip(got, got[1:], strict=False))
+    assert sorted(map(tuple, S.starts(m, 4).select("place", "start").collect())) == sorted(map(tuple, S.starts(m).select("place", "start").collect()))
+    assert len(S.lookup(m, 7)) == 200
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.001"
     docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
