@@ -1,14 +1,20 @@
 """Secret scans with an incremental blob ledger (native).
 
-Texts are content-addressed: a blob is the SHA-256 of a text. The ledger holds one row per
-(blob, rule version) that was ever scanned, with the spans found. A scan takes the historical
-versions of documents, keeps each blob once, drops the pairs that the ledger has, scans the
-rest with built-in functions and appends them. Findings are then joined back to every path
-(document) that ever held the blob.
+Texts are content-addressed: a blob is the SHA-256 of a text. The ledger is a table in a folder with one
+row per (blob, rule version) that was ever scanned and the spans found. A scan takes historical
+versions of documents, keeps each blob once, drops the pairs that the ledger has, scans the rest with
+built-in functions and appends them as one batch. Findings are then joined back to every path (document,
+or document and version) that ever held the blob. A scan of what the ledger has already scans nothing.
+
+Batches are told apart by name and seen whole: a batch counts once Spark's writer has marked it done,
+so a scan that was lost leaves the ledger as it was. Two scans at one time may both append a pair;
+readers keep one row of a pair.
 
 Defined cases: a null text is the empty text and has no findings; repeated rows and copies
 share one ledger row and each gets the findings; a null doc_id stays null; an empty table gives
-no rows; columns other than the id and the text are ignored, whatever their names.
+no rows and appends nothing; a text of any length is scanned whole; matches of one kind that start
+at one place cannot be, those of several kinds stand in the order of the rules; columns other than
+the id and the text are ignored, whatever their names.
 
 Spans are counted in code points, end exclusive. A match's start is the summed length of what
 lies before it: the pieces between matches (``split``) and the matches (``regexp_extract_all``),
@@ -17,12 +23,13 @@ both from the same leftmost non-overlapping scan.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldlake.llm.common import documents, free_name, saved, text_of
+from foldlake.llm.common import documents, free_name, new_folder, saved, text_of
 
 
 @dataclass(frozen=True)
@@ -52,6 +59,9 @@ ADDED_RULES = (
 )
 RULES = BASE_RULES + ADDED_RULES
 SPAN = "struct<start:int,order:int,kind:string,end:int,base:boolean>"
+LEDGER = f"blob string, rule string, version int, spans array<{SPAN}>"
+#: A session's setting that names the folder of a ledger to go on with.
+SETTING = "spark.foldlake.secrets.ledger"
 
 
 def _spans(text: Column, rule: Rule, order: int) -> Column:
@@ -118,32 +128,71 @@ def findings(ledger: DataFrame) -> DataFrame:
     return hits.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("found"))
 
 
-def join_paths(versions: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
-    """(doc_id, blob, found) for every row of ``versions``.
+class Ledger:
+    """The ledger in a folder: batches of rows, each written once."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._path, self._files = path, path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _batches(self) -> list[str]:
+        """Folders of the batches that were finished."""
+        if not self._files.exists(self._path(self.folder)):
+            return []
+        found = [str(s.getPath().toString()) for s in self._files.listStatus(self._path(self.folder))]
+        return sorted(b for b in found if self._files.exists(self._path(f"{b}/_SUCCESS")))
+
+    def rows(self) -> DataFrame | None:
+        """One row a pair; None before the first batch."""
+        batches = self._batches()
+        return self.spark.read.schema(LEDGER).parquet(*batches).dropDuplicates(["blob", "rule", "version"]) if batches else None
+
+    def scan(self, versions: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> int:
+        """Scan what is unseen of ``versions`` and append it; how many pairs that were."""
+        batch = f"{self.folder}/batch-{uuid.uuid4().hex}"
+        new = update_ledger(versions, self.rows(), rules, text_col)
+        new.withColumn("version", F.col("version").cast("int")).repartition(F.col("blob")).write.parquet(batch)
+        return self.spark.read.schema(LEDGER).parquet(batch).count()
 
-    A blob may be the text of a third of all rows. So the rows of a blob are dealt over
-    ``salts`` keys, and the findings, few and small, are repeated for each of them.
+    def found(self, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+        """(blob, found) by these rules and versions of them."""
+        rows = self.rows()
+        if rows is None:
+            return self.spark.createDataFrame([], f"blob string, found array<{SPAN}>")
+        return findings(rows.filter(F.concat_ws(":", "rule", "version").isin([f"{r.kind}:{r.version}" for r in rules])))
+
+
+def join_paths(versions: DataFrame, found: DataFrame, paths: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
+    """(…paths, blob, found) for every row of ``versions``.
+
+    A blob may be the text of a third of all rows: so the findings, few and small, are written first, and
+    the join reads tables only; a partition that one blob makes large is then read by several
+    tasks (adaptive skew joins).
     """
-    paths = versions.select(F.col(id_col).alias("doc_id"), F.sha2(text_of(F.col(text_col)).cast("binary"), 256).alias("blob"))
-    paths = paths.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
-    spread = found.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    found = saved(found, "findings").withColumnRenamed("blob", "_blob")
+    rows = versions.select(*[F.col(p) for p in paths], F.sha2(text_of(F.col(text_col)).cast("binary"), 256).alias("blob"))
     empty = F.array().cast(f"array<{SPAN}>")
-    return paths.join(spread, ["blob", "_salt"], "left").select("doc_id", "blob", F.coalesce("found", empty).alias("found"))
+    return rows.join(found, F.col("blob") == F.col("_blob"), "left").select(*paths, "blob", F.coalesce("found", empty).alias("found"))
 
 
 def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def scan_documents(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, text_col: str = "text", id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """(documents with their spans, the ledger after the scan). The new ledger rows are written to the shared folder."""
-    new = saved(update_ledger(docs, ledger, rules, text_col).repartition(F.col("blob")), "ledger")
-    whole = new if ledger is None else ledger.unionByName(new)
-    return join_paths(docs, findings(whole), id_col, text_col), whole
+def scan_documents(docs: DataFrame, ledger: Ledger | None = None, rules: tuple[Rule, ...] = RULES, text_col: str = "text", paths: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``paths``, blob and spans of every row, by way of the ledger; a new one in the shared folder if none is given.
+
+    A session may name the folder of a ledger to go on with, in the setting ``SETTING``.
+    """
+    spark = docs.sparkSession
+    ledger = ledger or Ledger(spark, spark.conf.get(SETTING, None) or new_folder(spark, "ledger"))
+    ledger.scan(docs, rules, text_col)
+    return join_paths(docs, ledger.found(rules), paths, text_col)
 
 
 def op10_secret_scans(spark, sf_dir):
-    rows, _ = scan_documents(documents(spark, sf_dir).select("doc_id", "text"))
+    rows = scan_documents(documents(spark, sf_dir).select("doc_id", "text"))
     base = F.filter("found", lambda s: s["base"])
     count = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return rows.select(
@@ -157,7 +206,7 @@ def redact_stage(spark, docs, sf_dir, mask: str = "[SECRET]"):
 
     ``n_chars`` is counted anew where it was the text's length. Null texts stay null.
     """
-    rows, _ = scan_documents(docs)
+    rows = scan_documents(docs)
     key, blob, own, found, clean = (free_name(docs, f"_{x}") for x in ("key", "blob", "own", "found", "clean"))
     # Rows of one id may differ in text, so the blob belongs to the key.
     hits = rows.filter(F.size("found") > 0).select(F.col("doc_id").alias(key), F.col("blob").alias(blob), F.col("found").alias(found)).dropDuplicates([key, blob])
