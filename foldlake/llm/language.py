@@ -8,12 +8,16 @@ probability mass over its words, and its score is that share.
 
 Training: averaged stochastic gradient steps on the log likelihood. Documents carry one label
 each, so sequences are spliced from stretches of documents of different languages; that is
-where the transitions are learned. The sample is bounded: ``MAX_DOCS`` documents for each of at
-most ``MAX_LANGS`` languages (the most frequent), those with the least hash of their id.
+where the transitions are learned. Every language seen is learned. The sample is bounded: ``MAX_DOCS`` documents for
+each language, those with the least hash of id and text, and fewer (one at least) if all languages
+together would have more than ``MAX_ROWS``. From these, ``SEQUENCES`` sequences of ``LENGTH`` words are
+spliced, or ``PER_LANGUAGE`` for each language if that is more.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0, and so is every
-text if nothing was learned; null labels are not learned from; repeated rows are labelled each;
-words of any length and texts of any number of words are used whole; other columns are ignored.
+text if nothing was learned or no row can teach; null labels are not learned from; repeated rows
+are labelled each and learned from once; of languages with one mass the first by name is given;
+words of any length and texts of any number of words are used whole; other columns are ignored; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,14 +30,17 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldlake.llm.common import documents, fold_of
 
 DIMS = 1 << 15
 MAX_DOCS = 250
-MAX_LANGS = 64
+MAX_ROWS = 16_000
+SEQUENCES = 2400
+PER_LANGUAGE = 150
+LENGTH = 32
 #: Words kept with their emission scores in each Python worker.
 CACHE = 600_000
 WORD = re.compile(r"[^\W\d_]+")
@@ -121,10 +128,11 @@ def _spliced(docs: list[tuple[str, int]], rng, count: int, length: int) -> list[
     return out
 
 
-def fit(texts, langs, epochs: int = 3, sequences: int = 2400, length: int = 32, batch: int = 48, rate: float = 0.35) -> Model | None:
+def fit(texts, langs, epochs: int = 3, sequences: int = SEQUENCES, length: int = LENGTH, batch: int = 48, rate: float = 0.35) -> Model | None:
     labels = sorted(set(langs))
     if not labels:
         return None
+    sequences = max(sequences, PER_LANGUAGE * len(labels))
     rng, size = np.random.default_rng(3), len(labels)
     at = {x: i for i, x in enumerate(labels)}
     docs = [(t, at[x]) for t, x in zip(texts, langs, strict=True)]
@@ -249,20 +257,19 @@ class Labeller:
         return [] if p is None else [(w, self.model.labels[int(q.argmax())], float(q.max())) for w, q in zip(words_of(text), p, strict=True)]
 
 
-def train(docs: DataFrame, max_docs: int = MAX_DOCS, folds: int = 5, held: int = 0) -> Model | None:
+def sample(docs: DataFrame, max_docs: int = MAX_DOCS, max_rows: int = MAX_ROWS, folds: int = 5, held: int = 0) -> DataFrame:
+    """(text, lang): the training rows, never a held-out one. One scan; a window with a limit keeps few rows of a language before the shuffle."""
     known = docs.filter(F.col("lang").isNotNull() & (fold_of(F.col("doc_id"), folds) != held))
-    langs = [r[0] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()]
-    picked = [
-        known.filter(F.col("lang") == x).select("doc_id", F.lit(x).alias("lang")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs) for x in langs
-    ]
-    if not picked:
-        return None
-    ids = picked[0]
-    for p in picked[1:]:
-        ids = ids.unionByName(p)
-    ids = F.broadcast(ids.distinct().withColumnRenamed("doc_id", "_id").withColumnRenamed("lang", "_lang"))  # at most max_docs * MAX_LANGS ids
-    rows = known.join(ids, (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("text", "lang").limit(2 * max_docs * MAX_LANGS)
-    pairs = sorted((r.text or "", r.lang) for r in rows.toLocalIterator())
+    langs = known.agg(F.count_distinct("lang")).first()[0]
+    each = max(1, min(max_docs, max_rows // max(1, langs)))
+    hashed = known.select("lang", F.xxhash64("doc_id", "text").alias("h"), "text")
+    # Equal rows have equal hashes: dense ranks count them once.
+    picked = hashed.withColumn("k", F.dense_rank().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("k") <= each)
+    return picked.groupBy("lang", "h").agg(F.first("text").alias("text")).select("text", "lang")
+
+
+def train(docs: DataFrame, max_docs: int = MAX_DOCS, max_rows: int = MAX_ROWS, folds: int = 5, held: int = 0) -> Model | None:
+    pairs = sorted((r.text or "", r.lang) for r in sample(docs, max_docs, max_rows, folds, held).toLocalIterator())  # max_rows rows, or one a language
     return fit([p[0] for p in pairs], [p[1] for p in pairs])
 
 

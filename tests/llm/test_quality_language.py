@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from foldlake.llm import language as L
 from foldlake.llm import quality as Y
@@ -109,3 +110,28 @@ def test_groups_do_not_change_labels(model):
 def test_language_accuracy(spark):
     rows = L.op5_language(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id").filter("held_out").toPandas()
     assert (rows.lang == rows.lang_pred).mean() > 0.97
+
+
+def test_every_language_is_learned(spark, make):
+    """70 languages, each of its own letters; none is left out and repeated rows count once."""
+    import itertools as it
+
+    pairs = ["".join(p) for p in it.combinations("abcdefghijkmno", 2)][:70]
+    word = lambda i, k: "".join(pairs[i][b] for b in map(int, format(k % 30 + 2, "b")))
+    rows = [(100 * i + k, " ".join(word(i, 7 * k + j) for j in range(12))) for i in range(70) for k in range(1, 9)]
+    docs = make(rows + rows[:50]).withColumn("lang", F.concat(F.lit("l"), F.floor(F.col("doc_id") / 100)))
+    got = L.sample(docs, max_docs=6).collect()
+    assert len({r.lang for r in got}) == 70 and len(got) == len({(r.lang, r.text) for r in got}) <= 6 * 70
+    assert sorted(map(tuple, got)) == sorted(map(tuple, L.sample(docs.repartition(7), max_docs=6).collect()))
+    assert len(L.sample(docs, max_docs=6, max_rows=10).collect()) == 70
+    model = L.train(docs, max_docs=6)
+    assert len(model.labels) == 70
+    langs, _ = L.Labeller(model).documents([t for _, t in rows])
+    assert np.mean([x == f"l{i // 100}" for x, (i, _) in zip(langs, rows, strict=True)]) > 0.8
+
+
+def test_sample_never_has_a_held_out_row(spark, make):
+    from zlib import crc32
+
+    docs = make([(i, f"text {i}") for i in range(200)] + [(None, "none")])
+    assert {r.text for r in L.sample(docs, 1000).collect()} == {f"text {i}" for i in range(200) if crc32(str(i).encode()) % 5}
