@@ -1,21 +1,26 @@
 """N-gram Jaccard self-join by MinHash banding.
 
 Documents are sets of word shingles (``WIDTH`` words, lower case, 64-bit hashes). Texts with equal sets
-are one class and only its representative, the least id, is joined. Each representative has a
-MinHash signature cut into bands; band and row counts are chosen so that a pair at the
-threshold shares a band with probability ``RECALL`` at least. Band hashes are shuffled; those met
-twice are buckets, and of buckets with the same members one is kept. Every pair within a bucket
-is verified on the full shingle sets, in the first bucket that it shares.
+are one class, named by the 128-bit digest of the set, and only its representative, the least id, is
+joined. Each representative has a MinHash signature cut into bands; band and row counts are chosen so
+that a pair at the threshold shares a band with probability ``RECALL`` at least. Band hashes are
+shuffled; those met twice are buckets, and of buckets with the same members one is kept. Every pair
+within a bucket is verified on the full shingle sets, in the first bucket that it shares.
 
 A bucket may be as large as the input. Its members are dealt into blocks of about ``BLOCK`` and
 each pair of blocks is a task's unit of work: it makes no row for a pair but, for each member,
 the number of documents linked, and the edges of a spanning forest of the links, from which
-the classes' groups (connected components) are found. So no pair is dropped or written out.
+the classes' groups (connected components) are found. So no pair is dropped or written out. A member
+of a bucket of n goes to n / ``BLOCK`` tasks, which exact counts of links within it need.
+
+A text may be that of a third of all rows, so joins that bring results back to rows read two written
+tables, and partitions that one key makes large are read by several tasks (adaptive skew joins).
 
 Defined cases: a null text is the empty text. Fewer words than a shingle has make one shingle
-of all words; a text without words is one shingle, the text itself. Rows that repeat an id are
-one document if their texts are equal; if not, each text counts as a document of that id. A null
-id is no document: its row is kept with nulls. An empty table gives no rows.
+of all words; a text without words is one shingle, the text itself; a text of any length is used whole,
+by one task. Rows that repeat an id are one document if their texts are equal; if not, each text counts
+as a document of that id. A null id is no document: its row is kept with nulls. An empty table gives
+no rows. Columns other than the id and the text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldlake.llm.common import documents, free_name, saved
@@ -37,17 +42,20 @@ WIDTH = 5
 THRESHOLD = 0.8
 RECALL = 0.999
 PERMUTATIONS = 128
-BLOCK = 192
+BLOCK = 384
 WORD = re.compile(r"[^\W_]+")
 
 
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, most: int = PERMUTATIONS) -> tuple[int, int]:
-    """(bands, rows): the most rows a band, so the fewest false candidates, that ``most`` permutations allow."""
-    for rows in range(most, 0, -1):
-        bands = max(1, math.ceil(math.log(1 - recall) / math.log1p(-(threshold**rows)))) if threshold < 1 else 1
-        if bands * rows <= most:
-            return bands, rows
-    return most, 1
+    """(bands, rows): the most rows a band, so the fewest false candidates, that ``most`` permutations allow.
+
+    A threshold so low that they allow none takes more permutations: bands of one row reach any recall.
+    """
+    if not 0 < threshold <= 1 or not 0 < recall < 1:
+        raise ValueError("a threshold lies above 0 and up to 1, a recall between them")
+    need = lambda rows: max(1, math.ceil(math.log(1 - recall) / math.log1p(-(threshold**rows)))) if threshold < 1 else 1
+    rows = next((r for r in range(most, 0, -1) if need(r) * r <= most), 1)
+    return need(rows), rows
 
 
 class Shingler:
@@ -107,7 +115,7 @@ def band_hashes(shingles: np.ndarray, bands: int, rows: int, hashes: tuple[np.nd
 
 
 def signatures(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(id, digest of the shingle set, number of shingles, band hashes) for each row with an id."""
+    """(id, hash of the text, digest of the shingle set, number of shingles, band hashes) for each row with an id."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler, hashes = Shingler(), _permutations(bands * rows)
@@ -115,12 +123,19 @@ def signatures(docs: DataFrame, bands: int, rows: int) -> DataFrame:
             sets = [shingler(t) for t in b["text"]]
             yield pd.DataFrame({
                 "doc_id": b["doc_id"],
+                "own": b["own"],
                 "digest": [blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
                 "size": [len(s) for s in sets],
                 "bands": [band_hashes(s, bands, rows, hashes) for s in sets],
             })
 
-    return docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(sign, "doc_id long, digest binary, size int, bands array<long>")
+    texts = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), own_hash().alias("own"), "text")
+    return texts.mapInPandas(sign, "doc_id long, own long, digest binary, size int, bands array<long>")
+
+
+def own_hash() -> Column:
+    """Tells apart the texts of one id."""
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.col("text").isNull())
 
 
 def _shingle_rows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -136,7 +151,7 @@ def _shingle_rows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.join(wanted, "doc_id", "left_semi").mapInPandas(cut, "digest binary, shingles binary")
 
 
-VERIFIED = "node long, other long, links long"
+VERIFIED = "node binary, other binary, links long"
 
 
 class _Block:
@@ -183,21 +198,28 @@ class _Block:
         ok &= member @ member.T == 0
         return ok
 
-    def results(self, bucket: int, first: int, second: int, threshold: float) -> list[tuple[int, int | None, int]]:
-        if len(self.node) < 2:
+    def results(self, bucket: int, first: int, second: int, threshold: float) -> list[tuple[bytes, bytes | None, int]]:
+        """(node, null, documents linked with it) and (node, other, 0): edges that connect what links connect."""
+        n = len(self.node)
+        if n < 2:
             return []
         ok = self.links(bucket, first, second, threshold)
-        node = np.array(self.node)
         counts = ok @ np.array(self.weight)
-        out: list = [(int(node[i]), None, int(counts[i])) for i in np.flatnonzero(counts)]
-        root = np.arange(len(node))
+        out: list = [(self.node[i], None, int(counts[i])) for i in np.flatnonzero(counts)]
+        root = np.arange(n)
         while True:  # the least row number of each component of the links
-            new = np.minimum(root, np.where(ok, root[None, :], len(node)).min(1))
+            new = np.minimum(root, np.where(ok, root[None, :], n).min(1))
             new = new[new]
             if (new == root).all():
                 break
             root = new
-        out += [(int(node[i]), int(node[r]), 0) for i, r in enumerate(root) if r != i]
+        # Each component's edges meet at a member of its own choice, lest one node be the middle of a bucket's blocks.
+        seed = (bucket ^ first * 0x9E3779B1 ^ second * 0x85EBCA6B) & 0x7FFFFFFF
+        middle = np.arange(n)
+        for r in np.unique(root):
+            members = np.flatnonzero(root == r)
+            middle[members] = members[seed % len(members)]
+        out += [(self.node[i], self.node[m], 0) for i, m in enumerate(middle.tolist()) if m != i]
         return out
 
 
@@ -224,40 +246,35 @@ def _verify(threshold: float):
 
 def _result(rows: list[tuple]) -> pd.DataFrame:
     node, other, links = zip(*rows, strict=True) if rows else ((), (), ())
-    # Typed arrays: a plain column with a null would turn the ids into floats.
-    return pd.DataFrame({"node": pd.array(node, "int64"), "other": pd.array(other, "Int64"), "links": pd.array(links, "int64")})
+    return pd.DataFrame({"node": pd.Series(node, dtype=object), "other": pd.Series(other, dtype=object), "links": pd.array(links, "int64")})
 
 
 def distinct_buckets(spread: DataFrame) -> DataFrame:
     """(bucket, n) of the buckets that two nodes or more of ``spread`` (node, bucket) met in, one of those with equal members.
 
-    Members are told by their number and two exclusive ors of hashes, which no number of rows can overflow.
+    Members are told by their number and two exclusive ors of 64-bit hashes, 128 bits in all, which no
+    number of rows can overflow.
     """
     met = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "node")).alias("y"))
     return met.filter("n > 1").groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
 
 
-def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """(doc_id, class_id, n_links, copy_of, n_copies) for every row.
+def grouped(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """(doc_id, own, digest, root, class_id, n_links, copy_of, n_copies) for every row with an id.
 
-    ``class_id``: the least id of all documents that links connect with it. ``n_links``: the
-    documents that are similar to it, copies included. ``copy_of``: the least id with an equal
-    shingle set; ``n_copies``: how many have it.
+    ``own`` tells apart the texts of one id, ``digest`` the shingle sets, ``root`` the groups.
     """
     bands, rows = choose_bands(threshold, recall)
     signed = saved(signatures(docs, bands, rows), "signatures")
     classes = signed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("bands").alias("bands"))
-    classes = saved(classes, "classes")
+    classes = saved(classes, "classes").withColumnRenamed("digest", "node")
 
-    # Nodes are classes; a 64-bit hash of the digest names one, as two texts may have one id.
-    node = F.xxhash64("digest").alias("node")
-    spread = classes.select(node, F.posexplode("bands").alias("band", "hash")).select("node", F.xxhash64("band", "hash").alias("bucket"))
+    spread = classes.select("node", F.posexplode("bands").alias("band", "hash")).select("node", F.xxhash64("band", "hash").alias("bucket"))
     members = saved(spread.join(distinct_buckets(spread), "bucket"), "members")
     of_node = members.groupBy("node").agg(F.collect_set("bucket").alias("buckets"))  # as many as bands at most
-    named = classes.select(node, "digest", "rep", "weight")
-    wanted = saved(named.join(of_node, "node"), "wanted")
+    wanted = saved(classes.select("node", "rep", "weight").join(of_node, "node"), "wanted")
     sets = _shingle_rows(docs, wanted.select(F.col("rep").alias("doc_id"))).dropDuplicates(["digest"])
-    loaded = saved(wanted.join(sets, "digest").select("node", "weight", "buckets", "shingles"), "loaded")
+    loaded = saved(wanted.join(sets, F.col("node") == F.col("digest")).select("node", "weight", "buckets", "shingles"), "loaded")
 
     blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
     work = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
@@ -268,14 +285,24 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL)
 
     links = verified.filter("other IS NULL").groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(verified.filter("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")))
-    reps = named.select("node", F.col("rep").alias("_rep"))
-    grouped = roots.join(reps, "node")
-    least = grouped.groupBy("root").agg(F.min("_rep").alias("class_id"))
-    linked = grouped.join(least, "root").join(links, "node").select(F.col("node").alias("_node"), "class_id", "links")
-    info = named.join(linked, F.col("node") == F.col("_node"), "left").select("digest", "rep", "weight", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
-    found = signed.select("doc_id", "digest").join(info, "digest").select(
-        "doc_id", "class_id", (F.col("links") + F.col("weight") - 1).cast("long").alias("n_links"), F.col("rep").alias("copy_of"), F.col("weight").alias("n_copies")
+    of_class = classes.select("node", "rep", "weight").join(roots, "node", "left").join(links, "node", "left")
+    of_class = saved(of_class.select("node", "rep", "weight", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links")), "of-class")
+    least = saved(of_class.filter("node <> root OR links > 0").groupBy("root").agg(F.min("rep").alias("class_id")), "least")
+    info = saved(of_class.join(least, "root", "left").select("node", "rep", "weight", "root", F.coalesce("class_id", "rep").alias("class_id"), "links"), "info")
+    return signed.select("doc_id", "own", "digest").join(info, F.col("digest") == F.col("node")).select(
+        "doc_id", "own", "digest", "root", "class_id",
+        (F.col("links") + F.col("weight") - 1).cast("long").alias("n_links"), F.col("rep").alias("copy_of"), F.col("weight").alias("n_copies"),
     )
+
+
+def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """(doc_id, class_id, n_links, copy_of, n_copies) for every row.
+
+    ``class_id``: the least id of all documents that links connect with it. ``n_links``: the
+    documents that are similar to it, copies included. ``copy_of``: the least id with an equal
+    shingle set; ``n_copies``: how many have it.
+    """
+    found = grouped(docs, threshold, recall).select("doc_id", "class_id", "n_links", "copy_of", "n_copies")
     lost = docs.filter("doc_id IS NULL").select(*[F.lit(None).cast("long").alias(c) for c in found.columns])
     return found.unionByName(lost)
 
@@ -285,11 +312,18 @@ def op8_ngram_join(spark, sf_dir):
 
 
 def keep_one_stage(spark, docs, sf_dir):
-    """Pipeline stage: of each group of linked documents the one with the least id stays. Rows without an id stay."""
-    key = free_name(docs, "_keep")
-    keep = join(docs.select("doc_id", "text")).filter("doc_id = class_id").select(F.col("doc_id").alias(key)).distinct()
-    own = docs.filter("doc_id IS NOT NULL").join(keep, F.col("doc_id") == F.col(key)).drop(key).dropDuplicates(["doc_id"])
-    return own.unionByName(docs.filter("doc_id IS NULL")).select(*docs.columns)
+    """Pipeline stage: of each group of linked documents the one with the least id stays. Rows without an id stay.
+
+    Rows of one id with unlike texts are documents of their own, in groups of their own, and each group
+    keeps one; of equal rows one stays.
+    """
+    key, own = free_name(docs, "_keep"), free_name(docs, "_own")
+    first = grouped(docs.select("doc_id", "text")).groupBy("root").agg(F.min(F.struct("doc_id", "own")).alias("x"))
+    keep = saved(first.select(F.col("x.doc_id").alias(key), F.col("x.own").alias("_o")), "keep")
+    named = docs.filter("doc_id IS NOT NULL").withColumn(own, own_hash())
+    kept = named.join(keep.withColumnRenamed("_o", own + "_"), (F.col("doc_id") == F.col(key)) & (F.col(own) == F.col(own + "_")), "left_semi")
+    kept = kept.dropDuplicates(["doc_id", own]).select(*docs.columns)
+    return kept.unionByName(docs.filter("doc_id IS NULL")).select(*docs.columns)
 
 
 #: Every pair by shared shingles: for small tables only, as it makes a row for each pair that shares one.

@@ -127,7 +127,29 @@ def test_join_odd(spark, make):
     assert J.join(make([])).count() == 0
     kept = J.keep_one_stage(spark, make(ODD), None)
     assert kept.columns == make(ODD).columns
-    assert sorted(r.doc_id for r in kept.filter("doc_id IS NOT NULL").collect()) == [1, 3, 4, 5, 6, 7]
+    # Id 5 has two texts: both are documents, and only the repeated row goes.
+    assert sorted((r.doc_id, r.text) for r in kept.filter("doc_id IN (5, 8)").collect()) == [(5, "one"), (5, "two words")]
+    assert sorted(r.doc_id for r in kept.filter("doc_id IS NOT NULL").collect()) == [1, 3, 4, 5, 5, 6, 7]
+
+
+def test_keep_one_tells_texts_of_one_id_apart(spark, make):
+    """Whatever the shuffle: the copy of a lesser id goes, the distinct text of the same id stays."""
+    a, b, c = "a b c d e f g h", "q r s t u v w x", "i j k l m n o p"
+    for rows, want in (
+        ([(3, a), (5, a), (5, b)], [(3, a), (5, b)]),
+        ([(5, a), (5, b), (7, a), (7, b), (5, a)], [(5, a), (5, b)]),
+        ([(5, a), (5, a.upper()), (9, c)], None),
+    ):
+        got = sorted((r.doc_id, r.text) for r in J.keep_one_stage(spark, make(rows), None).collect())
+        assert got == want if want else [g[0] for g in got] == [5, 9]
+
+
+def test_low_thresholds_reach_the_recall_too():
+    b, r = J.choose_bands(0.01, 0.99)
+    assert r == 1 and 1 - (1 - 0.01) ** b >= 0.99
+    for bad in ((0, 0.9), (1.1, 0.9), (0.8, 1)):
+        with pytest.raises(ValueError):
+            J.choose_bands(*bad)
 
 
 def test_bands_reach_the_recall():
