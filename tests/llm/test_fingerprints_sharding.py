@@ -120,6 +120,22 @@ def test_rows_of_one_id_overflow_to_pages(spark):
     assert all(r.b <= 100 for r in sums) and sum(r.n for r in sums) == 301
 
 
+def test_directory_covers_every_key_once(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.choice([1, 5, 50, 400])) for i in range(300)]
+    df = spark.createDataFrame([(i, "x" * b) for i, b in rows], "doc_id long, text string")
+    got = [r.shard.replace("*", "") for r in S.directory(S.assign(df, 700)).collect()]
+    bits = [format(int(hashlib.md5(str(i).encode()).hexdigest()[:8], 16), "032b") for i, _ in rows]
+    assert all(sum(b.startswith(g) for g in got) == 1 for b in bits)
+    assert S.directory(S.assign(df.limit(0))).count() == 0
+
+
+def test_write_shards_with_repeated_ids(spark, make, tmp_path):
+    S.write_shards(make([(1, "x"), (1, "y"), (2, "z"), (None, "n"), (None, "n")]), f"{tmp_path}/s", 2)
+    back = spark.read.parquet(f"{tmp_path}/s")
+    assert sorted((r.doc_id or 0, r.text) for r in back.collect()) == [(0, "n"), (0, "n"), (1, "x"), (1, "y"), (2, "z")]
+
+
 def test_sharding_odd(spark, make):
     assert S.assign(make([])).count() == 0
     assert S.assign(make(ODD)).count() == len(ODD)
