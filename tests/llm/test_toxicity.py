@@ -40,8 +40,9 @@ def test_counterfactuals_take_weight_off_group_mentions():
 
 
 def test_swaps():
-    pairs = T.counterfactuals("The women left. Nothing here.")
-    assert {b[1] for _, b in pairs} == {"men", "femmes", "hommes"} and all(a == ["the", "women", "left"] for a, _ in pairs)
+    pairs = T.counterfactuals("The boy left. Nothing here.")
+    assert {b[1] for _, b in pairs} == {"woman", "man", "girl"} and all(a == ["the", "boy", "left"] for a, _ in pairs)
+    assert not any({"women", "femmes"} <= set(g) for g in T.IDENTITY_TERMS)  # a term is swapped within its language
     assert T.counterfactuals(None) == []
 
 
@@ -77,8 +78,8 @@ def test_held_out_accuracy(spark):
 def test_fit_swaps_with_every_other_term(monkeypatch):
     seen, real = set(), T._difference
     monkeypatch.setattr(T, "_difference", lambda a, b, dims: seen.add(b[1]) or real(a, b, dims))
-    T.fit(["The women left.", "Nothing here."], [1, 0])
-    assert seen == set(T.IDENTITY_TERMS[0]) - {"women"}
+    T.fit(["The hindu left.", "Nothing here."], [1, 0])
+    assert seen == set(T.IDENTITY_TERMS[5]) - {"hindu"}
 
 
 def test_production_weight_takes_weight_off_group_mentions():
@@ -87,3 +88,35 @@ def test_production_weight_takes_weight_off_group_mentions():
     gap = lambda m: abs(np.subtract(*m.score(neutral)))
     print(gap(T.fit(texts, labels, fairness=0.0)), gap(T.fit(texts, labels)))
     assert gap(T.fit(texts, labels)) < 0.5 * gap(T.fit(texts, labels, fairness=0.0))
+
+
+def test_fewer_false_positives_on_neutral_mentions():
+    """Held-out neutral sentences that mention a group: the production penalty takes nearly all false positives away and keeps rude ones."""
+    texts, labels = corpus(600, True)
+    groups = T.IDENTITY_TERMS[5]
+    neutral = [f"the {g} {' '.join(rng.sample(NEUTRAL, 3))}." for g in groups for _ in range(40)]
+    rude = [f"the {g} {' '.join(rng.sample(NEUTRAL, 3))} {rng.choice(RUDE)}." for g in groups for _ in range(40)]
+    plain, fair = T.fit(texts, labels, fairness=0.0), T.fit(texts, labels)
+    false = lambda m: float((m.score(neutral[:40]) >= 0.5).mean())
+    assert (fair.score(rude) >= 0.5).mean() > 0.95
+    assert (fair.score(neutral) >= 0.5).mean() < 0.05
+    change = lambda m: float(np.abs(m.score([x.replace("muslim", "hindu") for x in neutral[:40]]) - m.score(neutral[:40])).mean())
+    assert change(fair) < 0.5 * change(plain) and false(fair) <= false(plain)
+
+
+def test_fit_from_executors_is_the_fit_from_texts(spark, make):
+    texts, labels = corpus(120, True)
+    docs = make(list(enumerate(texts)))
+    marks = spark.createDataFrame(list(enumerate(labels)), "doc_id long, toxic int")
+    got = T.train(docs, marks)
+    rows = [(r.text, r.y) for r in T.labelled_sample(docs, marks, "toxic", 5, 0, T.MAX_ROWS).collect()]
+    want = T.fit(*zip(*rows, strict=True))
+    assert np.allclose(got.score(texts), want.score(texts), atol=1e-4)
+    assert np.array_equal(got.weights, T.train(docs.repartition(5), marks).weights)
+
+
+def test_rows_of_one_id_do_not_pass_the_bound(spark, make):
+    docs = make([(1, f"text {i}") for i in range(500)] + [(2, "other")])
+    marks = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    a = sorted(map(tuple, T.labelled_sample(docs, marks, "toxic", 5, 9, 20).collect()))
+    assert len(a) == 21 and a == sorted(map(tuple, T.labelled_sample(docs.repartition(9), marks, "toxic", 5, 9, 20).collect()))
