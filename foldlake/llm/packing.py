@@ -1,6 +1,6 @@
 """Packing into optimal length buckets.
 
-The global histogram of lengths (tokens in a document, by default words between white space) is
+The global histogram of lengths (the ids that a tokenizer gives a document, or any other column) is
 aggregated on the executors; one row a distinct length comes to the driver. Dynamic programming
 over it chooses the bucket boundaries for which padding, the tokens needed to fill every
 document up to its bucket's boundary, is least. The cost is concave Monge, so each layer is
@@ -9,20 +9,26 @@ batches take as many as the token budget holds at the bucket's padded length.
 
 A bucket may hold a third of all documents, so rows are numbered in two steps: within (bucket,
 slice) by a window, and by running counts of the slices, of which there is one for about
-``SLICE`` rows. Order within a bucket: by slice, hash of the id, id, length and text hash.
+``SLICE`` rows. Slices are cut by id, text and place, so that rows of one id, or equal rows, are
+cut too. Order within a bucket: by slice, hash of the id, id, length, text hash and place.
 
 Defined cases: a null or empty text has no token and goes to the first bucket; a document that is
-longer than the budget is a batch of its own (``over_budget``); repeated rows are packed each; a
-null id is packed like any; an empty table gives no rows.
+longer than the budget is a batch of its own (``over_budget``), however long; repeated rows are packed
+each; a null id is packed like any; among equal paddings the fewest buckets are taken; an empty table gives
+no rows; columns other than the id and the text are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldlake.llm.common import documents, saved, text_of
+from foldlake.llm.sstable import encoder, vocabulary_of
 
 BUCKETS = 16
 BUDGET = 65536
@@ -34,6 +40,19 @@ def words(text: Column) -> Column:
     return F.regexp_count(text_of(text), F.lit(r"\S+")).cast("bigint")
 
 
+def tokens(text: Column, tokenizer: str) -> Column:
+    """Number of ids that a tokenizers file gives the whole text, without special ones around it."""
+    vocabulary, width = vocabulary_of(tokenizer)
+
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = encoder(vocabulary, width)
+        for texts in batches:
+            yield pd.Series(own.count(texts.tolist()))
+
+    count.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(count, "bigint")(text_of(text))
+
+
 def choose_boundaries(lengths, counts, buckets: int = BUCKETS) -> list[int]:
     """At most ``buckets`` boundaries, the last the greatest length, with the least padding. Among equals, the fewest."""
     x, c = np.asarray(lengths, np.int64), np.asarray(counts, np.int64)
@@ -82,7 +101,7 @@ def pack(docs: DataFrame, length: Column | None = None, buckets: int = BUCKETS,
     ``bucket`` counts from 0 by length, ``batch`` from 0 in its bucket, ``slot`` from 0 in its batch.
     """
     length = words(F.col("text")) if length is None else length
-    rows = docs.select("doc_id", length.cast("bigint").alias("n_tokens"), F.xxhash64(text_of(F.col("text"))).alias("_t"))
+    rows = docs.select("doc_id", length.cast("bigint").alias("n_tokens"), F.xxhash64(text_of(F.col("text"))).alias("_t"), F.monotonically_increasing_id().alias("_row"))
     rows = saved(rows, "lengths")
     histogram = rows.groupBy("n_tokens").count().orderBy("n_tokens").toPandas()  # a row for each distinct length
     bounds = choose_boundaries(histogram["n_tokens"], histogram["count"], buckets)
@@ -92,11 +111,11 @@ def pack(docs: DataFrame, length: Column | None = None, buckets: int = BUCKETS,
     array = F.array(*[F.lit(b).cast("bigint") for b in bounds])
     bucket = F.size(F.filter(array, lambda b: b < F.col("n_tokens")))
     slices = max(1, int(histogram["count"].sum()) // slice_rows)
-    rows = rows.withColumn("bucket", bucket).withColumn("bucket_length", F.get(array, F.col("bucket"))).withColumn("_h", F.xxhash64("doc_id")).withColumn("_slice", F.pmod(F.col("_h"), F.lit(slices)))
+    rows = rows.withColumn("bucket", bucket).withColumn("bucket_length", F.get(array, F.col("bucket"))).withColumn("_h", F.xxhash64("doc_id")).withColumn("_slice", F.pmod(F.xxhash64("doc_id", "_t", "_row"), F.lit(slices)))
     sums = rows.groupBy("bucket", "_slice").count()
     before = F.sum("count").over(Window.partitionBy("bucket").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1))
     sums = sums.select("bucket", "_slice", F.coalesce(before, F.lit(0)).alias("_before"))
-    own = F.row_number().over(Window.partitionBy("bucket", "_slice").orderBy("_h", "doc_id", "n_tokens", "_t"))
+    own = F.row_number().over(Window.partitionBy("bucket", "_slice").orderBy("_h", "doc_id", "n_tokens", "_t", "_row"))
     placed = rows.withColumn("_own", own).join(sums, ["bucket", "_slice"])
     per_batch = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.col("bucket_length"), F.lit(1))))
     number = F.col("_before") + F.col("_own") - 1
@@ -107,13 +126,19 @@ def pack(docs: DataFrame, length: Column | None = None, buckets: int = BUCKETS,
     )
 
 
+def _tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op2_packing(spark, sf_dir):
-    return pack(documents(spark, sf_dir).select("doc_id", "text"))
+    return pack(documents(spark, sf_dir).select("doc_id", "text"), tokens(F.col("text"), _tokenizer()))
 
 
 def pack_stage(spark, docs, sf_dir):
-    """Last pipeline stage: where each document goes."""
-    return pack(docs)
+    """Last pipeline stage: where each document goes, by the lengths of its token ids. No document goes."""
+    return pack(docs.select("doc_id", "text"), tokens(F.col("text"), _tokenizer()))
 
 
 QUERIES = {"op2_packing": op2_packing}

@@ -43,6 +43,42 @@ def test_batches(spark, make, slice_rows):
     assert p[p.over_budget].n_tokens.min() > 100
 
 
+def test_query_against_brute_force_packing(spark):
+    """Lengths by the library, boundaries by trying every split layer by layer, batches by counting along the hash order."""
+    import public_tokenizers
+    import xxhash
+    from tokenizers import Tokenizer
+
+    sf = "/root/testdata/sf0.001"
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    n = {i: len(t.encode(x or "", add_special_tokens=False).ids) for i, x in docs}
+    count = Counter(n.values())
+    x = sorted(count)
+    cost = lambda i, j: sum(count[v] * (x[j] - v) for v in x[i : j + 1])
+    best = {j: cost(0, j) for j in range(len(x))}
+    table = {(i, j): cost(i, j) for j in range(len(x)) for i in range(j + 1)}
+    for _ in range(K.BUCKETS - 1):
+        best = {j: min([best[j], *(best[i - 1] + table[i, j] for i in range(1, j + 1))]) for j in best}
+    rows = K.op2_packing(spark, sf).toPandas()
+    assert dict(zip(rows.doc_id, rows.n_tokens, strict=True)) == n
+    assert rows.padding.sum() == best[len(x) - 1] and rows.bucket.nunique() <= K.BUCKETS
+    bounds = sorted(set(rows.bucket_length))
+    order = lambda i: xxhash.xxh64(int(i).to_bytes(8, "little", signed=True), seed=42).intdigest()
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    for b, length in enumerate(bounds):
+        ids = sorted((i for i in n if length >= n[i] > (bounds[b - 1] if b else -1)), key=lambda i: signed(order(i)))
+        each = max(1, K.BUDGET // max(1, length))
+        want = {i: (b, k // each, k % each, n[i] > K.BUDGET) for k, i in enumerate(ids)}
+        got = rows[rows.bucket_length == length]
+        assert {r.doc_id: (r.bucket, r.batch, r.slot, r.over_budget) for r in got.itertuples()} == want
+
+
+def test_equal_rows_are_cut_into_slices(spark, make):
+    p = K.pack(make([(None, "a b")] * 900 + [(5, f"w {i}") for i in range(300)]), buckets=4, budget=20, slice_rows=50).toPandas()
+    assert len(p) == 1200 and not p.duplicated(["bucket", "batch", "slot"]).any()
+
+
 def test_pack_nothing(spark, make):
     assert K.pack(make([])).count() == 0
 
