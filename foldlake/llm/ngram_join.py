@@ -42,7 +42,7 @@ WIDTH = 5
 THRESHOLD = 0.8
 RECALL = 0.999
 PERMUTATIONS = 128
-BLOCK = 384
+BLOCK = 256
 WORD = re.compile(r"[^\W_]+")
 
 
