@@ -41,6 +41,7 @@ MAX_ROWS = 16_000
 SEQUENCES = 2400
 PER_LANGUAGE = 150
 LENGTH = 32
+WIDEN = 8
 #: Words kept with their emission scores in each Python worker.
 CACHE = 600_000
 WORD = re.compile(r"[^\W\d_]+")
@@ -258,13 +259,19 @@ class Labeller:
 
 
 def sample(docs: DataFrame, max_docs: int = MAX_DOCS, max_rows: int = MAX_ROWS, folds: int = 5, held: int = 0) -> DataFrame:
-    """(text, lang): the training rows, never a held-out one. One scan; a window with a limit keeps few rows of a language before the shuffle."""
+    """(text, lang): the training rows, never a held-out one.
+
+    The rows with the least hashes are wanted, so of a language with many rows only those below a
+    hash under which ``WIDEN`` times as many are expected leave their task. A language most of whose rows
+    repeat others may so give fewer than its share.
+    """
     known = docs.filter(F.col("lang").isNotNull() & (fold_of(F.col("doc_id"), folds) != held))
-    langs = known.agg(F.count_distinct("lang")).first()[0]
-    each = max(1, min(max_docs, max_rows // max(1, langs)))
-    hashed = known.select("lang", F.xxhash64("doc_id", "text").alias("h"), "text")
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))  # one row a language
+    each = max(1, min(max_docs, max_rows // max(1, counts.count())))
+    hashed = known.select("lang", F.xxhash64("doc_id", "text").alias("h"), "text").join(F.broadcast(counts), "lang")
+    near = hashed.filter(F.col("h") / F.lit(2.0**64) + 0.5 <= F.lit(float(WIDEN * each)) / F.col("_n"))
     # Equal rows have equal hashes: dense ranks count them once.
-    picked = hashed.withColumn("k", F.dense_rank().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("k") <= each)
+    picked = near.withColumn("k", F.dense_rank().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("k") <= each)
     return picked.groupBy("lang", "h").agg(F.first("text").alias("text")).select("text", "lang")
 
 
