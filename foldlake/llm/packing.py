@@ -47,7 +47,9 @@ def tokens(text: Column, tokenizer: str) -> Column:
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = encoder(vocabulary, width)
         for texts in batches:
-            yield pd.Series(own.count(texts.tolist()))
+            rows = texts.tolist()
+            counts = [own.count(rows[lo : lo + 500]) for lo in range(0, len(rows), 500)]  # an Arrow batch cut up at once takes much memory
+            yield pd.Series(np.concatenate(counts) if counts else np.zeros(0, np.int64))
 
     count.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(count, "bigint")(text_of(text))
