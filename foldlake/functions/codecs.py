@@ -90,12 +90,12 @@ def fnv1a64(data: bytes) -> int:
 
 
 def pointer(*parts: Any) -> str:
-    """Short digest of a table version, in base 36."""
+    """Short digest of a table version: 13 digits in base 36."""
     n, out = fnv1a64("|".join(map(str, parts)).encode()), ""
     while n:
         n, r = divmod(n, 36)
         out = "0123456789abcdefghijklmnopqrstuvwxyz"[r] + out
-    return out or "0"
+    return out.rjust(13, "0")
 
 
 def _number_text(v: float) -> str:

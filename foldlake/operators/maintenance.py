@@ -15,7 +15,7 @@ RETIRE_STEP = 20
 USAGE_WINDOW = 120
 WRITES_PER_MINUTE = 30
 MINUTES_A_MONTH = 43_200
-SNAPSHOT_NAME = r"(?:^|/)snapshot/L9/(\d{12})-(\d{12})-([0-9a-f]{64})\.json$"
+SNAPSHOT_NAME = r"(?:^|/)snapshot/L9/(\d{12})-(\d{12})-([0-9a-f]{64})\.(?:json|parquet)$"
 
 
 def discover_collections(keys: DataFrame, key: str = "key") -> DataFrame:
@@ -77,6 +77,8 @@ def retention_ranges(heads: DataFrame) -> DataFrame:
 def usage(log: DataFrame, newest: int = USAGE_WINDOW, limit: float = WRITES_PER_MINUTE) -> DataFrame:
     """(collection, entries, writes_per_minute, severity) over each collection's newest log rows.
 
+    Fewer than two rows with a time give no rate: null, and ``info``.
+
     ``log``: (collection, seq, commit_ts). The window ranks on both sides of the exchange, so a
     hot collection sends ``newest`` rows a task.
     """
@@ -84,10 +86,10 @@ def usage(log: DataFrame, newest: int = USAGE_WINDOW, limit: float = WRITES_PER_
     rows = log.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= newest)
     micros = lambda c: F.unix_micros(c.cast("timestamp"))
     minutes = (micros(F.max("commit_ts")) - micros(F.min("commit_ts"))) / F.lit(60e6)
-    rate = F.when(F.count(F.lit(1)) > 1, (F.count(F.lit(1)) - 1) / F.greatest(F.lit(1 / 60), minutes)).otherwise(0.0)
+    rate = F.when(F.count("commit_ts") > 1, (F.count("commit_ts") - 1) / F.greatest(F.lit(1 / 60), minutes))
     out = rows.groupBy("collection").agg(F.count(F.lit(1)).alias("entries"), rate.alias("writes_per_minute"))
     r = F.col("writes_per_minute")
-    return out.withColumn("severity", F.when(r >= limit, "error").when(r >= limit / 2, "warn").otherwise("ok"))
+    return out.withColumn("severity", F.when(r.isNull(), "info").when(r >= limit, "error").when(r >= limit / 2, "warn").otherwise("ok"))
 
 
 def cost_projection(rates: DataFrame, amplification: float, free_ops: int = 1_000_000, price_per_million: float = 4.5, monthly_cap: int = 50_000_000, rate_cap: float = 100.0) -> DataFrame:
@@ -122,9 +124,22 @@ def account(ops: DataFrame) -> DataFrame:
     return ops.groupBy("method", F.substring_index("key", "/", 2).alias("prefix")).agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
 
 
+def file_sums(files: DataFrame) -> DataFrame:
+    """(path, sum): the SHA-256 of each file of a ``binaryFile`` frame."""
+    return files.select("path", F.sha2("content", 256).alias("sum"))
+
+
 def verify_snapshots(files: DataFrame) -> DataFrame:
-    """(path, ok): whether the SHA-256 in each file's name is that of its content. ``files``: a ``binaryFile`` frame."""
-    return files.select("path", (F.sha2("content", 256) == F.regexp_extract("path", SNAPSHOT_NAME, 3)).alias("ok"))
+    """(path, ok): whether the SHA-256 in each snapshot's name is that of its content. ``files``: a ``binaryFile`` frame.
+
+    A snapshot is one file, or a folder of files: then the name has the SHA-256 of their sorted sums.
+    """
+    single = F.col("path").rlike(SNAPSHOT_NAME)
+    sums = file_sums(files).withColumn("one", single)
+    sums = sums.withColumn("path", F.when(F.col("one"), F.col("path")).otherwise(F.regexp_extract("path", r"^(.*)/[^/]*$", 1)))
+    made = sums.groupBy("path", "one").agg(F.array_sort(F.collect_list("sum")).alias("sums"))  # a row a snapshot, 64 characters a file
+    content = F.when(F.col("one"), F.get("sums", F.lit(0))).otherwise(F.sha2(F.array_join("sums", "").cast("binary"), 256))
+    return made.select("path", (content == F.regexp_extract("path", SNAPSHOT_NAME, 3)).alias("ok"))
 
 
 def inspect(head: dict, log: DataFrame, view: DataFrame, files: DataFrame, index_entries: DataFrame | None = None) -> DataFrame:

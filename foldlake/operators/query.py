@@ -30,6 +30,10 @@ def _order_columns(spec: dict[str, str], at, tie: Column | None, utf16: bool) ->
     return out + ([tie.asc()] if tie is not None else [])
 
 
+# Fixed value: how a table version names a snapshot that is not there.
+EMPTY_SNAPSHOT = "none"
+
+
 @dataclass(frozen=True)
 class Query:
     """Over typed columns; ``body`` names a VARIANT column instead, whose rows are (id, body)."""
@@ -98,10 +102,13 @@ class Query:
         """The document with that id, whatever the predicate."""
         return self.df.filter(F.col(self.id_col) == F.lit(doc_id))
 
-    def manifest_pointer(self, head: dict) -> str:
-        from foldlake.functions.codecs import pointer
 
-        return pointer(*(head.get(k) for k in ("snapshot", "log_seq_start", "tail_hint", "generation")))
+def manifest_pointer(head: dict, tail: int | None = None) -> str:
+    """A table version's name: another one after every commit, fold and restore. ``tail``: a newer end of the log, if known."""
+    from foldlake.functions.codecs import pointer
+
+    tail = head["tail"] if tail is None else tail
+    return "m1:" + pointer(head["snapshot"] or EMPTY_SNAPSHOT, head["log_seq_start"], head["tail"], head["snapshot_bytes"], head["snapshot_rows"], tail)
 
 
 def from_request(df: DataFrame, params: dict[str, str], id_col: str = "_id", body: str | None = None) -> Query:

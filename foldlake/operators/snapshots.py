@@ -69,21 +69,19 @@ def route(mutations: DataFrame, chunks: DataFrame, id_col: str = "doc_id", op_co
 
 
 def facing_merge(chunks: Sequence[Chunk], at: int, target_rows: int, target_bytes: int, least: float = 0.5) -> list[Chunk]:
-    """Merge chunk ``at``, if it is under ``least`` of both targets, with a neighbour if both targets still hold.
+    """Merge chunk ``at``, if it is under ``least`` of both targets, with the chunk after it, or the one before if it is the last.
 
-    The smaller neighbour is tried first, the left one at a tie.
+    The neighbour is fixed by place: if both together pass a target, nothing is merged.
     """
     c = list(chunks)
     me = c[at]
-    if me.row_count >= target_rows * least or me.byte_length >= target_bytes * least:
+    if len(c) < 2 or me.row_count >= target_rows * least or me.byte_length >= target_bytes * least:
         return c
-    near = [i for i in (at - 1, at + 1) if 0 <= i < len(c)]
-    for i in sorted(near, key=lambda i: (c[i].byte_length, i)):
-        a, b = (c[i], me) if i < at else (me, c[i])
-        if a.row_count + b.row_count <= target_rows and a.byte_length + b.byte_length <= target_bytes:
-            low = min(i, at)
-            return c[:low] + [Chunk(a.first_id, b.last_id, a.row_count + b.row_count, a.byte_length + b.byte_length)] + c[low + 2 :]
-    return c
+    low = at if at + 1 < len(c) else at - 1
+    a, b = c[low], c[low + 1]
+    if a.row_count + b.row_count > target_rows or a.byte_length + b.byte_length > target_bytes:
+        return c
+    return c[:low] + [Chunk(a.first_id, b.last_id, a.row_count + b.row_count, a.byte_length + b.byte_length)] + c[low + 2 :]
 
 
 @dataclass(frozen=True)
@@ -137,16 +135,21 @@ PROFILES = {
 MIN_SNAPSHOT_BYTES = 64 * 1024
 
 
-def maintenance_due(head: dict, tail: int, entry_bytes: int, profile: Profile, ratio: float = 1.0) -> tuple[bool, bool]:
-    """(fold due, gc due): the log weighs as much as the snapshot; a multiple of the gc step was crossed."""
+def crosses(before: int, tail: int, every: int) -> bool:
+    """Whether a multiple of ``every`` lies in (before, tail]."""
+    return before // every != tail // every
+
+
+def maintenance_due(head: dict, tail: int, entry_bytes: int, profile: Profile, ratio: float = 1.0, before: int | None = None) -> tuple[bool, bool]:
+    """(fold due, gc due): the log weighs as much as the snapshot; the tail, which was ``before`` (one less if not given), crossed a multiple of the gc step."""
     pending = tail - head["log_seq_start"]
     fold = pending * entry_bytes / max(head.get("snapshot_bytes") or 0, MIN_SNAPSHOT_BYTES) >= ratio
-    return fold, pending > 0 and tail % profile.gc_every == 0
+    return fold, crosses(tail - 1 if before is None else before, tail, profile.gc_every)
 
 
-def pass_steps(head: dict, tail: int, entry_bytes: int, profile: Profile) -> list[str]:
+def pass_steps(head: dict, tail: int, entry_bytes: int, profile: Profile, before: int | None = None) -> list[str]:
     """What a bounded pass does, in order."""
-    fold, gc = maintenance_due(head, tail, entry_bytes, profile)
+    fold, gc = maintenance_due(head, tail, entry_bytes, profile, before=before)
     too_large = (head.get("snapshot_bytes") or 0) > profile.snapshot_bytes or (head.get("snapshot_rows") or 0) > profile.snapshot_rows
     return [s for s, on in (("defer-fold", fold and too_large), ("fold", fold and not too_large), ("gc", gc), ("retention", fold or gc)) if on]
 
@@ -171,4 +174,4 @@ def assert_head_step(old: dict, new: dict) -> None:
 
 
 def snapshot_key(min_seq: int, max_seq: int, digest: str) -> str:
-    return f"snapshot/L9/{min_seq:012d}-{max_seq:012d}-{digest}"
+    return f"snapshot/L9/{min_seq:012d}-{max_seq:012d}-{digest}.parquet"

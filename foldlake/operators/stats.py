@@ -119,20 +119,24 @@ def bootstrap_by(df: DataFrame, by: str, value: str, rounds: int = 200, seed: in
 
 
 def weighted_pick(weights: dict[str, float], u: float) -> str:
+    """The first name at which the running sum of weights reaches ``u`` of their total."""
     at = u * sum(weights.values())
     for name, w in weights.items():
         at -= w
-        if at < 0:
+        if at <= 0:
             return name
     return name
 
 
 def zipf_index(n: int, s: float, u: float) -> int:
-    """Index of [0, n) with probability in proportion to 1 / (i + 1)^s."""
-    p = np.cumsum(1 / np.arange(1, n + 1) ** s)
-    return int(np.searchsorted(p, u * p[-1], side="right"))
+    """An index of [0, n) that leans to the low ones: the continuous law with exponent ``s`` above 1, inverted and cut off."""
+    power = float("inf") if s <= 1 else 1 / (s - 1)
+    value = (1 - u) ** -power if u else 1.0
+    return n - 1 if value == float("inf") else min(n - 1, max(0, math.floor(value) - 1))
 
 
 def power_law(low: float, high: float, alpha: float, u: float) -> float:
+    """A value of [low, high] with density in proportion to x^-alpha."""
     a = 1 - alpha
-    return (low**a + u * (high**a - low**a)) ** (1 / a) if a else low * (high / low) ** u
+    x = (low**a + u * (high**a - low**a)) ** (1 / a) if a else low * (high / low) ** u
+    return min(high, max(low, x))

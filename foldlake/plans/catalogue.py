@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 from foldlake import predicate as P
 from foldlake.functions import codecs, columns
 from foldlake.operators import export, fold, indexes, maintenance, patch, snapshots, stats
-from foldlake.operators.query import Query, from_request
+from foldlake.operators.collection import Collection
+from foldlake.operators.query import Query, from_request, manifest_pointer
+from foldlake.sources.store import Store, scratch
+from foldlake.streaming import feed
 from foldlake.streaming.feed import since
 
 QUERIES: dict = {}
@@ -324,41 +327,83 @@ def merge_patch_variant(spark, sf_dir):
     return rows.select("_id", at("$.cust.status", "string").alias("status"), at("$.cust.added", "double").alias("added"), at("$.cust.key", "double").alias("key"))
 
 
-def customer_log(spark, sf_dir) -> DataFrame:
-    c = customers(spark, sf_dir)
-    return c.select(F.col("c_custkey").alias("doc_id"), F.col("c_custkey").alias("seq"), F.lit("I").alias("op"), F.struct(*c.columns).alias("after"))
+def stored(spark, name: str, rows: DataFrame, id_col: str) -> Collection:
+    """A collection in a fresh store, with a document for each row of a table."""
+    c = Collection(Store(spark, scratch(spark, name), name))
+    c.insert_frame(rows.select(F.col(id_col).cast("string").alias("_id"), F.to_variant_object(F.struct(*rows.columns)).alias("body")))
+    return c
+
+
+def fields(view: DataFrame, **kinds: str) -> DataFrame:
+    return view.select(*[F.try_variant_get("body", f"$.{name}", kind).alias(name) for name, kind in kinds.items()])
 
 
 @query("bulk_update", "SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'BUILT' ELSE c_mktsegment END AS c_mktsegment FROM customer")
 def bulk_update(spark, sf_dir):
-    """The update is log rows with whole documents after the inserts; the fold shows it."""
-    log = customer_log(spark, sf_dir)
-    hit = fold.fold(log).filter("body.c_mktsegment = 'BUILDING'").withColumn("body", F.col("body").withField("c_mktsegment", F.lit("BUILT")))
-    updates = fold.apply_rows(hit, F.lit(1 << 40) + F.monotonically_increasing_id(), "U")
-    return fold.fold(log.unionByName(updates)).select("body.c_custkey", "body.c_mktsegment")
+    c = stored(spark, "customers", customers(spark, sf_dir), "c_custkey")
+    c.update_where({"c_mktsegment": "BUILDING"}, {"c_mktsegment": "BUILT"})
+    return fields(c.all(), c_custkey="bigint", c_mktsegment="string")
 
 
 @query("bulk_delete", "SELECT c_custkey FROM customer WHERE c_nationkey <> 7")
 def bulk_delete(spark, sf_dir):
-    log = customer_log(spark, sf_dir)
-    gone = fold.apply_rows(fold.fold(log).filter("body.c_nationkey = 7"), F.lit(1 << 40) + F.monotonically_increasing_id(), "D")
-    return fold.fold(log.unionByName(gone)).select("body.c_custkey")
+    c = stored(spark, "customers", customers(spark, sf_dir), "c_custkey")
+    c.delete_where({"c_nationkey": 7})
+    return fields(c.all(), c_custkey="bigint")
 
 
 @query("replace", "SELECT c_custkey, CASE WHEN c_custkey = 9 THEN NULL ELSE c_name END AS c_name, CASE WHEN c_custkey = 9 THEN 1.5 ELSE c_acctbal END AS c_acctbal FROM customer")
 def replace(spark, sf_dir):
-    log = customer_log(spark, sf_dir)
-    t = log.schema["after"].dataType
-    whole = F.struct(*[(F.lit(9) if f.name == "c_custkey" else F.lit(1.5) if f.name == "c_acctbal" else F.lit(None)).cast(f.dataType).alias(f.name) for f in t.fields])
-    new = spark.range(1).select(F.lit(9).cast("bigint").alias("doc_id"), F.lit(1 << 40).alias("seq"), F.lit("U").alias("op"), whole.alias("after"))
-    return fold.fold(log.unionByName(new)).select("body.c_custkey", "body.c_name", "body.c_acctbal")
+    c = stored(spark, "customers", customers(spark, sf_dir), "c_custkey")
+    c.replace("9", {"c_custkey": 9, "c_acctbal": 1.5})
+    return fields(c.all(), c_custkey="bigint", c_name="string", c_acctbal="double")
 
 
-@query("insert_conflicts", "SELECT n_nationkey AS doc_id FROM nation WHERE n_nationkey < 100 AND n_nationkey IN (SELECT c_nationkey FROM customer)")
+@query("insert_conflicts", "SELECT n_nationkey AS doc_id FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer)")
 def insert_conflicts(spark, sf_dir):
-    """Ids of new documents that the view has already."""
-    new = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("doc_id"))
-    return new.join(customers(spark, sf_dir).select(F.col("c_nationkey").alias("doc_id")), "doc_id", "left_semi")
+    """Ids of new documents that the collection has already."""
+    c = stored(spark, "nations", customers(spark, sf_dir).select("c_nationkey").distinct(), "c_nationkey")
+    new = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("_id"))
+    return c.conflicts(new).select(F.col("_id").cast("bigint").alias("doc_id"))
+
+
+@query("store_life", "SELECT s_suppkey, CASE WHEN s_suppkey = 2 THEN 'second' ELSE s_name END AS s_name FROM supplier WHERE s_suppkey <> 3")
+def store_life(spark, sf_dir):
+    """Insert, fold, update and delete through the store: the view is the checked snapshot with the log after it."""
+    c = stored(spark, "suppliers", table(spark, sf_dir, "supplier"), "s_suppkey")
+    c.store.compact()
+    c.update("2", {"s_name": "second"})
+    c.delete("3")
+    return fields(c.all(), s_suppkey="bigint", s_name="string")
+
+
+@query("store_snapshots", "SELECT count(*) AS rows, true AS verified, true AS named_by_content, true AS pointer_moved, count(*) AS pending_before, 0::BIGINT AS pending_after FROM supplier")
+def store_snapshots(spark, sf_dir):
+    """A maintenance pass writes a snapshot that its name verifies; equal content has the same digest, and the table's version moves."""
+    c = stored(spark, "suppliers", table(spark, sf_dir, "supplier"), "s_suppkey")
+    before = c.store.head()
+    c.store.maintain(entry_bytes=1 << 20)
+    head = c.store.head()
+    ok = maintenance.verify_snapshots(spark.read.format("binaryFile").load(f"{c.store.root}/{head['snapshot']}/*.parquet"))
+    facts = F.lit(head["snapshot"] in [r.key for r in c.store.snapshot_files().collect()])  # one snapshot
+    return ok.select(
+        F.lit(head["snapshot_rows"]).cast("bigint").alias("rows"), F.col("ok").alias("verified"), facts.alias("named_by_content"),
+        F.lit(manifest_pointer(head) != manifest_pointer(before)).alias("pointer_moved"),
+        F.lit(before["tail"] - before["log_seq_start"]).cast("bigint").alias("pending_before"), F.lit(head["tail"] - head["log_seq_start"]).cast("bigint").alias("pending_after"),
+    )
+
+
+@query("store_feed", "SELECT s_suppkey::VARCHAR AS doc_id, 'I' AS op FROM supplier UNION ALL SELECT '1', 'U'")
+def store_feed(spark, sf_dir):
+    """Pages of the feed through the store, each after the cursor of the one before."""
+    c = stored(spark, "suppliers", table(spark, sf_dir, "supplier"), "s_suppkey")
+    c.update("1", {"s_name": "first"})
+    head = c.store.head()
+    # The page's own form: a top-k over the log; the cursor codec and rules are those of since_page.
+    rows, at = feed.since_page(c.store, "", page=3)
+    rest = since(c.store.log(head, len(rows)), rows[-1].seq, head["tail"]).select("doc_id", "op")
+    assert feed.since_page(c.store, at, page=1)[0][0].seq == rows[-1].seq + 1
+    return spark.createDataFrame([(r.doc_id, r.op) for r in rows], "doc_id string, op string").unionByName(rest)
 
 
 @query("validate_rules", "SELECT c_custkey, (CASE WHEN c_acctbal >= 0 THEN 0 ELSE 1 END + CASE WHEN length(c_name) > 0 THEN 0 ELSE 1 END)::INTEGER AS n_issues FROM customer")
@@ -564,12 +609,12 @@ def retention_range(spark, sf_dir):
     return maintenance.retention_ranges(heads).select("c_custkey", "retire_from", "retire_to")
 
 
-USAGE = """SELECT event_type AS collection, count(*) AS entries, CASE WHEN count(*) > 1 THEN (count(*) - 1) / greatest(1.0 / 60, (epoch_us(max(ts)) - epoch_us(min(ts))) / 60e6) ELSE 0.0 END AS writes_per_minute
+USAGE = """SELECT event_type AS collection, count(*) AS entries, CASE WHEN count(*) > 1 THEN (count(*) - 1) / greatest(1.0 / 60, (epoch_us(max(ts)) - epoch_us(min(ts))) / 60e6) ELSE NULL END AS writes_per_minute
 FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS k FROM events) WHERE k <= 120 GROUP BY event_type"""
 
 
 
-@query("usage_rate", f"SELECT collection, entries, round(writes_per_minute, 6) AS writes_per_minute, CASE WHEN writes_per_minute >= 30 THEN 'error' WHEN writes_per_minute >= 15 THEN 'warn' ELSE 'ok' END AS severity FROM ({USAGE})")
+@query("usage_rate", f"SELECT collection, entries, round(writes_per_minute, 6) AS writes_per_minute, CASE WHEN writes_per_minute >= 30 THEN 'error' WHEN writes_per_minute >= 15 THEN 'warn' WHEN writes_per_minute IS NULL THEN 'info' ELSE 'ok' END AS severity FROM ({USAGE})")
 def usage_rate(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.col("event_type").alias("collection"), F.col("event_id").alias("seq"), F.col("ts").alias("commit_ts"))
     return maintenance.usage(e).withColumn("writes_per_minute", F.round("writes_per_minute", 6))
@@ -645,11 +690,25 @@ def failure_bounds(spark, sf_dir):
     return g.select("event_type", F.round(stats.wilson_upper(F.col("k"), F.col("n")), 8).alias("wilson"), F.round(stats.zero_failure_upper(F.col("n")), 8).alias("zero_failures"))
 
 
-@query("ols_multiple")
+def _cramer(names: list[str], y: str, source: str) -> str:
+    """SQL of a linear regression on three columns by Cramer's rule over covariances."""
+    cov = lambda a, b: f"covar_pop({a}, {b})"
+    m = [[f"s{i}{j}" for j in range(3)] for i in range(3)]
+
+    def det(q):
+        return f"({q[0][0]} * ({q[1][1]} * {q[2][2]} - {q[1][2]} * {q[2][1]}) - {q[0][1]} * ({q[1][0]} * {q[2][2]} - {q[1][2]} * {q[2][0]}) + {q[0][2]} * ({q[1][0]} * {q[2][1]} - {q[1][1]} * {q[2][0]}))"
+
+    terms = [f"{det([[f'c{i}' if j == k else m[i][j] for j in range(3)] for i in range(3)])} / {det(m)} AS b{k}" for k in range(3)]
+    sums = [f"{cov(names[i], names[j])} AS s{i}{j}" for i in range(3) for j in range(3)] + [f"{cov(n, y)} AS c{i}, avg({n}) AS a{i}" for i, n in enumerate(names)]
+    rows = " UNION ALL ".join(f"SELECT '{n}' AS term, round(b{i}, 3) AS beta FROM b" for i, n in enumerate(names))
+    return f"WITH s AS (SELECT {', '.join(sums)}, avg({y}) AS ay FROM {source}), b AS (SELECT *, {', '.join(terms)} FROM s) SELECT 'intercept' AS term, round(ay - b0 * a0 - b1 * a1 - b2 * a2, 3) AS beta FROM b UNION ALL {rows}"
+
+
+@query("ols_multiple", _cramer(["l_quantity", "l_discount", "l_tax"], "l_extendedprice", "lineitem"))
 def ols_multiple(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     beta, rss = stats.ols(li, "l_extendedprice", ["l_quantity", "l_discount", "l_tax"])
-    return spark.createDataFrame([(n, float(b)) for n, b in zip(["intercept", "l_quantity", "l_discount", "l_tax"], beta, strict=True)], "term string, beta double")
+    return spark.createDataFrame([(n, round(float(b), 3)) for n, b in zip(["intercept", "l_quantity", "l_discount", "l_tax"], beta, strict=True)], "term string, beta double")
 
 
 @query("bootstrap_median")

@@ -1,18 +1,27 @@
 """Where tables live: bucket addresses, the head record, the log and snapshots on any Hadoop file system.
 
-One writer at a time for a collection. A commit appends one Parquet batch of log rows with
-contiguous numbers and then creates the head's next version with a no-overwrite rename; a commit
-that finds that version taken has lost the race and raises ``Conflict``. Readers take the newest
+A commit appends one Parquet batch of log rows with contiguous numbers and then creates the head's
+next version, which no file system lets two writers do; the one that comes second takes its
+batch back and raises a retriable ``Conflict``. A commit carries a token, which the head keeps for a while: a
+commit that is tried again after its answer was lost finds its own entry and returns that. Readers take the newest
 head, so they see whole batches or none of them.
+
+A snapshot is a folder of Parquet files named by the SHA-256 of its files' SHA-256 sums; it is checked
+once, before a store first reads it.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
+import os
+import random
 import re
 import time
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
+from typing import TypeVar
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +30,7 @@ from pyspark.sql import types as T
 
 from foldlake.errors import EngineError
 from foldlake.operators import fold as folding
-from foldlake.operators.snapshots import assert_head_step, compact_decision, snapshot_key
+from foldlake.operators.snapshots import PROFILES, Profile, assert_head_step, compact_decision, pass_steps, snapshot_key
 
 LOG = T.StructType(
     [
@@ -66,11 +75,45 @@ def parse_bucket(uri: str) -> Bucket:
 NAME = re.compile(r"[^/\x00-\x1f\x7f_][^/\x00-\x1f\x7f]*\Z")
 
 
+#: Head versions that stay for readers that have just listed them, and commit tokens that a head keeps.
+KEEP_HEADS = 32
+KEEP_TOKENS = 64
+OBJECT_STORES = ("s3a", "gs", "abfs", "abfss")
+Result = TypeVar("Result")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """The address of a fresh folder in ``spark.checkpoint.dir``, deleted when the driver's JVM ends; under /tmp for a local session without one."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise EngineError("InvalidConfig", "spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = f"file:///tmp/foldlake-scratch-{os.getpid()}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return files.makeQualified(path).toString()
+
+
+def retrying(run: Callable[[], Result], attempts: int = 6, base: float = 0.05, most: float = 2.0, sleep: Callable[[float], None] = time.sleep) -> Result:
+    """``run()``, again after a retriable error; waits are drawn from 0 to a bound that doubles."""
+    for attempt in range(attempts):
+        try:
+            return run()
+        except EngineError as e:
+            if not e.retriable or attempt == attempts - 1:
+                raise
+            sleep(random.uniform(0, min(most, base * 2**attempt)))
+    raise EngineError("InvalidConfig", "at least one attempt")
+
+
 class Files:
     """The few file operations that need the driver."""
 
     def __init__(self, spark: SparkSession, root: str):
-        jvm = spark.sparkContext._jvm
+        jvm = self._jvm = spark.sparkContext._jvm
+        self._gateway, self._conf = spark.sparkContext._gateway, spark.sparkContext._jsc.hadoopConfiguration()
         self.Path, self.root = jvm.org.apache.hadoop.fs.Path, root.rstrip("/")
         self.fs = self.Path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self._utils = jvm.org.apache.commons.io.IOUtils
@@ -94,33 +137,69 @@ class Files:
             stream.close()
 
     def create(self, key: str, data: bytes) -> bool:
-        """Write a file that is not there yet; false if it is."""
+        """Write a file that is not there yet, whole or not at all; false if it is there."""
+        from py4j.protocol import Py4JJavaError
+
+        target = self._at(key)
+        if self.fs.exists(target):
+            return False
+        if self.fs.getScheme() in OBJECT_STORES:  # whose rename replaces; they create on condition
+            try:
+                out = self.fs.createFile(target).overwrite(False).opt("fs.option.create.conditional.overwrite", "true").build()
+                out.write(bytearray(data))
+                out.close()
+                return True
+            except Py4JJavaError:
+                return False
         temp = self._at(f"{key}.{uuid.uuid4().hex}.tmp")
         out = self.fs.create(temp, False)
         try:
             out.write(bytearray(data))
         finally:
             out.close()
-        target = self._at(key)
-        if self.fs.exists(target) or not self.fs.rename(temp, target):
+        # Without an option to overwrite, this rename fails if the target is there.
+        none = self._gateway.new_array(getattr(self._jvm, "org.apache.hadoop.fs.Options$Rename"), 0)
+        try:
+            self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self._conf).rename(temp, target, none)
+            return True
+        except Py4JJavaError:
             self.fs.delete(temp, False)
             return False
-        return True
+
+    def move(self, key: str, to: str) -> None:
+        self.fs.mkdirs(self._at(to).getParent())
+        if not self.fs.rename(self._at(key), self._at(to)):
+            raise EngineError("NetworkError", f"cannot move {key!r}", retriable=True)
+
+    def size(self, key: str) -> int:
+        return self.fs.getContentSummary(self._at(key)).getLength()
 
     def delete(self, key: str) -> None:
         self.fs.delete(self._at(key), True)
 
 
+def snapshot_digest(name: str) -> str:
+    return name.rpartition("-")[2].partition(".")[0]
+
+
+def _address(root: str) -> str:
+    """A bucket address as Spark takes it, any other address that Spark knows as it is, and a path as a local file's."""
+    if re.match(r"(s3|r2|minio|gcs|gs|memory)://|file:///", root):
+        return parse_bucket(root).path()
+    return root.rstrip("/") if re.match(r"[a-z][a-z0-9+.-]+:/", root) else f"file://{root}"
+
+
 class Store:
     """One collection: head, log batches and snapshots under ``app=…/tenant=…/<name>``."""
 
     def __init__(self, spark: SparkSession, root: str, name: str, app: str = "app", tenant: str = "main"):
         if not NAME.match(name) or len(name.encode()) > 256:
             raise EngineError("InvalidConfig", f"bad collection name {name!r}")
-        base = parse_bucket(root).path() if "://" in root else f"file://{root}"
+        base = _address(root)
         self.spark, self.name = spark, name
         self.root = f"{base}/app={app}/tenant={tenant}/{name}"
         self.files = Files(spark, self.root)
+        self._checked: set[str] = set()
 
     def head(self) -> dict | None:
         """The newest head; None if the collection was never written."""
@@ -134,15 +213,21 @@ class Store:
             assert_head_step(old, new)
         if not self.files.create(f"head/{new['version']:020d}.json", json.dumps(new).encode()):
             raise EngineError("Conflict", "another writer committed first", retriable=True)
+        if new["version"] > KEEP_HEADS:
+            self.files.delete(f"head/{new['version'] - KEEP_HEADS:020d}.json")
         return new
 
-    def append(self, rows: DataFrame, session: str | None = None) -> tuple[int, int]:
+    def append(self, rows: DataFrame, session: str | None = None, token: str | None = None, head: dict | None = None) -> tuple[int, int]:
         """Commit (op, doc_id, after VARIANT) rows; returns [from, to) of their numbers.
 
         Numbers follow the rows' partitions: counts of each partition come first, so that no
-        row passes through one task.
+        row passes through one task. A ``token`` that a commit had before gives that commit's numbers. With a
+        ``head`` that the rows were made from, the commit loses to any that came after it.
         """
-        head = self.head()
+        token, newest = token or uuid.uuid4().hex, self.head()
+        if newest and token in newest.get("commits", {}):
+            return tuple(newest["commits"][token])
+        head = head or newest
         start = head["tail"] if head else 0
         stamp = time.strftime("%Y-%m-%dT%H:%M:%S", time.gmtime()) + f".{int(time.time() * 1000) % 1000:03d}Z"
         session = session or uuid.uuid4().hex[:6]
@@ -175,7 +260,13 @@ class Store:
             self.spark.conf.set(shred, before)
         self.files.delete(staged[len(self.root) + 1 :])
         batches = (head["batches"] if head else []) + [batch]
-        self._advance(head, tail=at, batches=batches)
+        commits = dict([*(head.get("commits", {}) if head else {}).items(), (token, [start, at])][-KEEP_TOKENS:])
+        try:
+            self._advance(head, tail=at, batches=batches, commits=commits)
+        except EngineError as e:
+            if e.code == "Conflict":
+                self.files.delete(f"log/{batch}")
+            raise
         return start, at
 
     def log(self, head: dict | None = None, since: int | None = None) -> DataFrame:
@@ -187,10 +278,39 @@ class Store:
         rows = self.spark.read.schema(LOG).parquet(*[f"{self.root}/log/{b}" for b in names])
         return rows if since is None else rows.filter(F.col("seq") >= since)
 
-    def snapshot(self, head: dict | None) -> DataFrame | None:
+    def snapshot(self, head: dict | None, check: bool = True) -> DataFrame | None:
+        """The head's snapshot; an error if its files are not those that its name was made from."""
         if not head or not head["snapshot"]:
             return None
-        return self.spark.read.schema(SNAPSHOT).parquet(f"{self.root}/{head['snapshot']}")
+        name = head["snapshot"]
+        if check and name not in self._checked:
+            if self._digest(name) != snapshot_digest(name):
+                raise EngineError("Internal", f"snapshot {name!r} is damaged")
+            self._checked.add(name)
+        return self.spark.read.schema(SNAPSHOT).parquet(f"{self.root}/{name}")
+
+    def _digest(self, folder: str) -> str:
+        """SHA-256 of the sorted SHA-256 sums of a folder's Parquet files, which the executors make."""
+        from foldlake.operators.maintenance import file_sums
+
+        names = [n for n in self.files.list(folder) if n.endswith(".parquet")]
+        if not names:
+            return ""
+        sums = file_sums(self.spark.read.format("binaryFile").load([f"{self.root}/{folder}/{n}" for n in names]))
+        return hashlib.sha256("".join(sorted(r.sum for r in sums.collect())).encode()).hexdigest()  # one row a file
+
+    def _write_snapshot(self, rows: DataFrame, low: int, high: int) -> dict:
+        """Write (_id, body) rows as a snapshot named by its content; the head's fields for it."""
+        staged = f"staged/{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.root}/{staged}")
+        name = snapshot_key(low, high, self._digest(staged))
+        if self.files.exists(name):
+            self.files.delete(staged)
+        else:
+            self.files.move(staged, name)
+        self._checked.add(name)
+        n = self.spark.read.schema(SNAPSHOT).parquet(f"{self.root}/{name}").count()
+        return {"snapshot": name, "snapshot_rows": n, "snapshot_bytes": self.files.size(name)}
 
     def view(self, head: dict | None = None) -> DataFrame:
         head = head or self.head()
@@ -205,18 +325,59 @@ class Store:
         if reason != "ok":
             return reason
         log = self.log(head, head["log_seq_start"])
-        name = snapshot_key(head["log_seq_start"], end - 1, uuid.uuid4().hex * 2)
-        folding.compact(log, self.snapshot(head), end).write.parquet(f"{self.root}/{name}")
-        rows = self.spark.read.schema(SNAPSHOT).parquet(f"{self.root}/{name}")
+        made = self._write_snapshot(folding.compact(log, self.snapshot(head), end), head["log_seq_start"], end - 1)
         try:
-            self._advance(head, snapshot=name, log_seq_start=end, snapshot_rows=rows.count())
+            self._advance(head, log_seq_start=end, **made)
         except EngineError as e:
             if e.code != "Conflict":
                 raise
-            self.files.delete(name)
+            if made["snapshot"] != head["snapshot"]:
+                self.files.delete(made["snapshot"])
             return "lost-race"
         return "ok"
 
+    def maintain(self, profile: Profile = PROFILES["node"], entry_bytes: int = 1024, before: int | None = None, now: str | None = None, least: int = 1, most: int = 10000) -> list[str]:
+        """Run a bounded pass after commits moved the tail on from ``before``; the names of the steps that were done."""
+        head, done = self.head(), []
+        if head is None:
+            return done
+        for step in pass_steps(head, head["tail"], entry_bytes, profile, before):
+            if step == "fold":
+                done.append(f"fold:{self.compact(least, most)}")
+            elif step == "gc":
+                done.append(f"gc:{self.collect_garbage(now)}")
+            elif step == "retention":
+                low, high = self.retire(step=20)
+                done.append(f"retention:{high - low}")
+            else:
+                done.append(step)
+        return done
+
+    def snapshot_files(self) -> DataFrame:
+        """(key) of all snapshots in the store."""
+        names = [(f"snapshot/L9/{n}",) for n in self.files.list("snapshot/L9")]
+        return self.spark.createDataFrame(names, "key string")
+
+    def collect_garbage(self, now: str | None = None) -> int:
+        """Mark snapshots that the head no longer names, sweep those whose time has come; how many went.
+
+        The ledger of candidates is a field of the head, so a pass that lost a race has marked nothing.
+        """
+        from foldlake.operators import maintenance as M
+
+        head = self.head()
+        at = F.lit(now).cast("timestamp") if now else F.current_timestamp()
+        ledger = self.spark.createDataFrame([tuple(x) for x in head.get("gc", [])], "key string, due string, reason string, generation string")
+        ledger = ledger.select("key", F.col("due").cast("timestamp").alias("due_at"), "reason", "generation")
+        due, stays = M.sweep(M.classify_candidates(ledger, head["generation"], head["snapshot"], head["log_seq_start"], at))
+        gone = [r.key for r in due.collect()]  # MAX_SWEEPS at most
+        marks = M.mark_orphans(self.snapshot_files(), head["snapshot"], ledger, at, head["generation"])
+        kept = M.merge_ledger(stays, marks).select("key", F.col("due_at").cast("string"), "reason", "generation").collect()  # LEDGER_CAP at most
+        self._advance(head, gc=[list(r) for r in kept])
+        for key in gone:
+            self.files.delete(key)
+        return len(gone)
+
     def retire(self, retain: int = 1024, step: int = 1 << 60) -> tuple[int, int]:
         """Publish the new delete floor, then delete batches wholly below it."""
         from foldlake.operators.maintenance import retention_range
@@ -233,7 +394,8 @@ class Store:
         """Replace all by (_id, body) rows under a new generation; old cursors are dead."""
         head = self.head()
         start = head["tail"] if head else 0
-        name = snapshot_key(0, max(0, start - 1), uuid.uuid4().hex * 2)
-        rows.select("_id", "body").sortWithinPartitions("_id").write.parquet(f"{self.root}/{name}")
-        n = self.spark.read.parquet(f"{self.root}/{name}").count()
-        self._advance(head, generation=uuid.uuid4().hex[:12], snapshot=name, log_seq_start=start, log_delete_floor=start, batches=[], snapshot_rows=n)
+        made = self._write_snapshot(rows.select("_id", "body").sortWithinPartitions("_id"), 0, max(0, start - 1))
+        old = head["batches"] if head else []
+        self._advance(head, generation=uuid.uuid4().hex[:12], log_seq_start=start, log_delete_floor=start, batches=[], gc=[], **made)
+        for b in old:  # no cursor of the new generation reaches them
+            self.files.delete(f"log/{b}")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,8 @@ from foldlake.operators.fold import latest
 from foldlake.sources.store import Store
 
 PAGE = 1024
+#: Rows of one task of the streaming source.
+SPAN = 50_000
 
 
 def since(log: DataFrame, after: int, page: int = PAGE) -> DataFrame:
@@ -23,22 +26,42 @@ def since(log: DataFrame, after: int, page: int = PAGE) -> DataFrame:
 
 
 def since_page(store: Store, text: str = "", page: int = PAGE) -> tuple[list, str]:
-    """(rows, next cursor). An empty page gives the cursor back; one that is folded away or foreign is an error."""
+    """(rows, next cursor). An empty page gives the cursor back.
+
+    Without a cursor the page starts at the first row that no snapshot holds. A cursor that is not of this
+    generation, also one without any, is an error, as numbers are used anew in another; so
+    is one whose row was folded into a snapshot.
+    """
+    if text:
+        parse_cursor(text)
     head = store.head()
     if head is None:
         return [], text
     generation, seq = parse_cursor(text)
-    if generation not in (None, "", head["generation"]):
-        raise EngineError("SchemaError", "the cursor is of another generation; start anew")
-    if seq is not None and seq + 1 < head["log_delete_floor"]:
-        raise EngineError("SchemaError", "the cursor is before what the log still has; start anew")
-    low = head["log_delete_floor"] if seq is None else seq + 1
+    low = head["log_seq_start"]
+    if text:
+        if (generation or "") != head["generation"]:
+            raise EngineError("SchemaError", "the cursor is of another generation; start anew")
+        if seq is not None and seq < low:
+            raise EngineError("SchemaError", "the cursor's row has been folded into a snapshot; start anew")
+        low = low if seq is None else seq + 1
     rows = since(store.log(head, low), low - 1, page).select("seq", "op", "doc_id", "session", "commit_ts", F.to_json("after").alias("after")).collect()
     if not rows:
         return [], text or cursor(head["generation"], None)
     return rows, cursor(head["generation"], lsn(0, rows[-1]["session"], rows[-1]["seq"]))
 
 
+def long_poll(store: Store, text: str = "", timeout: float = 25.0, interval: float = 0.5, page: int = PAGE, cancelled: Callable[[], bool] = lambda: False) -> tuple[list, str]:
+    """The first page that has rows, or, after ``timeout`` seconds or when cancelled, none and the cursor as it was."""
+    end = time.monotonic() + timeout
+    while True:
+        rows, at = since_page(store, text, page)
+        left = end - time.monotonic()
+        if rows or left <= 0 or cancelled():
+            return (rows, at) if rows else ([], text)
+        time.sleep(min(interval, left))
+
+
 class _Span(InputPartition):
     def __init__(self, files: list[str], low: int, high: int):
         self.files, self.low, self.high = files, low, high
@@ -85,12 +108,14 @@ class FeedReader(DataSourceStreamReader):
 
     def initialOffset(self):  # noqa: N802
         head = self._head()
-        return {"generation": head["generation"], "seq": head["log_delete_floor"]}
+        self.at = {"generation": head["generation"], "seq": head["log_delete_floor"]}
+        return self.at
 
     def latestOffset(self):  # noqa: N802
+        """At most ``maxRows`` beyond what was read; after a restart Spark tells that by planning the last batch again."""
         head = self._head()
-        seq = head["tail"] if self.at is None else min(head["tail"], self.at["seq"] + self.most)
-        return {"generation": head["generation"], "seq": seq}
+        start = self.at["seq"] if self.at else head["log_delete_floor"]
+        return {"generation": head["generation"], "seq": min(head["tail"], start + self.most)}
 
     def partitions(self, start, end):
         if start["generation"] != end["generation"]:
@@ -99,8 +124,9 @@ class FeedReader(DataSourceStreamReader):
         out = []
         for b in self._head()["batches"]:
             low, high = (int(x) for x in b.split("-")[:2])
-            if high > start["seq"] and low < end["seq"]:
-                out.append(_Span([b], max(low, start["seq"]), min(high, end["seq"])))
+            low, high = max(low, start["seq"]), min(high, end["seq"])
+            # A batch of any size is cut into spans of bounded rows; Parquet statistics skip what a span does not need.
+            out += [_Span([b], at, min(high, at + SPAN)) for at in range(low, high, SPAN)]
         return out or [_Span([], 0, 0)]
 
     def commit(self, end):
@@ -116,7 +142,12 @@ class FeedReader(DataSourceStreamReader):
             for f in where.get_file_info(fs.FileSelector(f"{root}/log/{b}")):
                 if f.path.endswith(".parquet"):
                     part = pq.ParquetFile(f.path, filesystem=where)
-                    rows += [r for r in part.read(["seq", "op", "doc_id", "commit_ts", "after"]).to_pylist() if partition.low <= r["seq"] < partition.high]
+                    place = part.schema_arrow.names.index("seq")
+                    for g in range(part.num_row_groups):
+                        seen = part.metadata.row_group(g).column(place).statistics
+                        if seen is None or not seen.has_min_max or (seen.min < partition.high and seen.max >= partition.low):
+                            for chunk in part.iter_batches(2048, [g], ["seq", "op", "doc_id", "commit_ts", "after"]):
+                                rows += [r for r in chunk.to_pylist() if partition.low <= r["seq"] < partition.high]
         for r in sorted(rows, key=lambda r: r["seq"]):
             a = r["after"]
             body = VariantVal(a["value"], a["metadata"]).toJson() if a and a["value"] is not None else None
@@ -146,7 +177,12 @@ class LiveQueries:
         self.results: dict[str, object] = {}
         self.states: dict[str, str] = {}
 
-    def add(self, name: str, collections: set[str], run: Callable[[], object]) -> None:
+    def add(self, name: str, collections: set[str], run: Callable[[], object] | None) -> None:
+        """``run`` None: the query is skipped, as long as its parameters are not known."""
+        if run is None:
+            self.queries.pop(name, None)
+            self.states[name] = "skipped"
+            return
         self.queries[name] = (frozenset(collections), run)
         self._run(name)
 

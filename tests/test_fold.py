@@ -61,8 +61,17 @@ def test_greedy_split_and_presets():
 
 def test_facing_merge():
     c = [snapshots.Chunk("a", "b", 2, 20), snapshots.Chunk("c", "d", 1, 10), snapshots.Chunk("e", "f", 9, 90)]
-    assert snapshots.facing_merge(c, 1, 10, 100) == [snapshots.Chunk("a", "d", 3, 30), c[2]]
-    assert snapshots.facing_merge(c, 2, 10, 100) == c
+    # The chunk after it comes first, though the one before is smaller; the last one takes the one before.
+    assert snapshots.facing_merge(c, 1, 10, 100) == [c[0], snapshots.Chunk("c", "f", 10, 100)]
+    assert snapshots.facing_merge(c, 1, 9, 100) == c
+    assert snapshots.facing_merge(c[:2], 1, 10, 100) == [snapshots.Chunk("a", "d", 3, 30)]
+    assert snapshots.facing_merge(c, 2, 10, 100) == c and snapshots.facing_merge(c[:1], 0, 10, 100) == c[:1]
+
+
+def test_gc_is_due_when_a_boundary_is_crossed():
+    assert snapshots.crosses(250, 260, 256) and not snapshots.crosses(256, 300, 256) and snapshots.crosses(255, 256, 256)
+    head = {"log_seq_start": 0, "snapshot_bytes": 0}
+    assert snapshots.maintenance_due(head, 260, 1, snapshots.PROFILES["node"], before=250)[1]
 
 
 def test_head_rules():

@@ -1,11 +1,14 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from foldlake.errors import EngineError
+from foldlake.operators import maintenance, snapshots
 from foldlake.operators.collection import Collection
 from foldlake.operators.patch import merge_patch, patch_typed
+from foldlake.operators.query import manifest_pointer
 from foldlake.sources.ndjson import read_ndjson
 from foldlake.sources.store import LOG, Store, parse_bucket
 from foldlake.streaming import feed
@@ -181,3 +184,142 @@ def test_bad_ndjson(spark, tmp_path, line):
     (tmp_path / "x.ndjson").write_text('{"_id":"ok"}\n' + line + "\n")
     with pytest.raises(Exception, match="bad document"):
         read_ndjson(spark, str(tmp_path / "x.ndjson")).collect()
+
+
+def test_commit_is_found_again_by_its_token(coll, spark):
+    rows = spark.createDataFrame([("I", "a", '{"v":1}')], "op string, doc_id string, t string").select("op", "doc_id", F.parse_json("t").alias("after"))
+    first = coll.store.append(rows, token="t1")
+    assert coll.store.append(rows, token="t1") == first and coll.store.head()["tail"] == 1
+    assert coll.store.append(rows, token="t2") == (1, 2)
+
+
+def test_a_lost_race_is_tried_again_and_leaves_nothing(coll, monkeypatch):
+    coll.insert({"_id": "a", "v": 1})
+    real, lost = coll.store._advance, []
+
+    def race(head, **changes):
+        if not lost:
+            lost.append(1)
+            real(coll.store.head(), tail=head["tail"])  # someone else's version comes first
+        return real(head, **changes)
+
+    monkeypatch.setattr(coll.store, "_advance", race)
+    assert coll.update("a", {"v": 2}) == {"modified": 1} and coll.get("a")["v"] == 2
+    assert sorted(coll.store.files.list("log")) == sorted(coll.store.head()["batches"])
+
+
+def test_retrying_waits_and_gives_up():
+    from foldlake.sources.store import retrying
+
+    waits, runs = [], []
+
+    def fail():
+        runs.append(1)
+        raise EngineError("Conflict", "x", retriable=True)
+
+    with pytest.raises(EngineError):
+        retrying(fail, attempts=4, sleep=waits.append)
+    assert len(runs) == 4 and len(waits) == 3 and all(w <= 0.05 * 2**i for i, w in enumerate(waits))
+
+
+def test_two_creates_of_one_file(coll):
+    f = coll.store.files
+    assert f.create("head/x", b"1") and not f.create("head/x", b"2") and f.read("head/x") == b"1"
+    assert f.list("head") == ["x"]
+
+
+def test_snapshots_are_named_and_checked_by_content(spark, tmp_path):
+    names = []
+    for root in ("p", "q"):
+        c = Collection(Store(spark, f"file://{tmp_path}/{root}", "notes"))
+        c.insert({"_id": "a", "v": 1})
+        assert c.store.compact() == "ok"
+        names.append(c.store.head()["snapshot"])
+    assert c.store.head()["snapshot_bytes"] > 0 and names[0].endswith(".parquet")
+    assert maintenance.verify_snapshots(spark.read.format("binaryFile").load(f"{c.store.root}/{names[1]}/*.parquet")).first().ok
+    file = next((tmp_path / "q/app=app/tenant=main/notes" / names[1]).glob("*.parquet"))
+    other = Store(spark, f"file://{tmp_path}/q", "notes")
+    data = bytearray(file.read_bytes())
+    data[len(data) // 2] ^= 255
+    for crc in file.parent.glob(".*.crc"):
+        crc.unlink()
+    file.write_bytes(bytes(data))
+    assert not maintenance.verify_snapshots(spark.read.format("binaryFile").load(f"{c.store.root}/{names[1]}/*.parquet")).first().ok
+    with pytest.raises(EngineError) as e:
+        other.view()
+    assert e.value.code == "Internal"
+
+
+def test_pointer_moves_with_every_change(coll):
+    seen = set()
+    for step in (lambda: coll.insert({"_id": "a"}), lambda: coll.update("a", {"v": 1}), coll.store.compact, lambda: coll.delete("a")):
+        step()
+        seen.add(manifest_pointer(coll.store.head()))
+    assert len(seen) == 4 and all(re.fullmatch("m1:[0-9a-z]{13}", p) for p in seen)
+
+
+def test_maintenance_pass_folds_marks_and_sweeps(coll):
+    for i in range(3):
+        coll.insert({"_id": f"d{i}"})
+        assert coll.store.maintain(entry_bytes=1 << 20)[0] == "fold:ok"
+    assert len(coll.store.files.list("snapshot/L9")) == 3
+    small = snapshots.Profile(1 << 30, 1 << 30, 2)
+    assert coll.store.maintain(small, entry_bytes=1, before=0)[0] == "gc:0" and len(coll.store.head()["gc"]) == 2
+    assert coll.store.maintain(small, entry_bytes=1, before=0, now="2999-01-01")[0] == "gc:2"
+    assert [f"snapshot/L9/{n}" for n in coll.store.files.list("snapshot/L9")] == [coll.store.head()["snapshot"]]
+    assert coll.count() == 3 and coll.store.head()["gc"] == []
+    assert coll.store.maintain(snapshots.Profile(0, 0), entry_bytes=1 << 20) == []
+
+
+def test_cursor_rules(coll):
+    for i in range(3):
+        coll.insert({"_id": f"d{i}"})
+    _, at = feed.since_page(coll.store, "", page=2)
+    with pytest.raises(EngineError, match="generation"):
+        feed.since_page(coll.store, at.rpartition(".")[2])
+    coll.store.compact()
+    with pytest.raises(EngineError, match="folded"):
+        feed.since_page(coll.store, at)
+    assert feed.since_page(coll.store, "")[0] == []
+    coll.insert({"_id": "d9"})
+    assert [r.doc_id for r in feed.since_page(coll.store, "")[0]] == ["d9"]
+
+
+def test_long_poll(coll):
+    import time
+
+    coll.insert({"_id": "a"})
+    rows, at = feed.long_poll(coll.store, timeout=5)
+    assert [r.doc_id for r in rows] == ["a"]
+    began = time.monotonic()
+    assert feed.long_poll(coll.store, at, timeout=0.4, interval=0.1) == ([], at) and time.monotonic() - began >= 0.4
+    assert feed.long_poll(coll.store, at, timeout=60, cancelled=lambda: True) == ([], at)
+    with pytest.raises(EngineError):
+        feed.long_poll(coll.store, "nonsense", timeout=60)
+
+
+def test_insert_frame_checks_ids_and_bodies(coll, spark):
+    frame = lambda *rows: spark.createDataFrame(rows, "_id string, t string").select("_id", F.parse_json("t").alias("body"))
+    for bad, code in (((None, "{}"), "InvalidConfig"), (("_x", "{}"), "InvalidConfig"), (("a", "[1]"), "SchemaError"), (("a", None), "SchemaError")):
+        with pytest.raises(EngineError) as e:
+            coll.insert_frame(frame(("ok", "{}"), bad))
+        assert e.value.code == code
+    coll.schema = lambda d: [] if d.get("v", 0) >= 0 else ["negative"]
+    with pytest.raises(EngineError) as e:
+        coll.insert_frame(frame(("ok", '{"v":-1}')))
+    assert e.value.issues == ["negative"] and coll.store.head() is None
+
+
+def test_old_heads_go(coll, monkeypatch):
+    from foldlake.sources import store
+
+    monkeypatch.setattr(store, "KEEP_HEADS", 2)
+    for i in range(4):
+        coll.insert({"_id": f"d{i}"})
+    assert len(coll.store.files.list("head")) == 2 and coll.count() == 4
+
+
+def test_skipped_live_query(coll):
+    live = feed.LiveQueries()
+    live.add("n", {"notes"}, None)
+    assert live.states["n"] == "skipped" and live.changed("notes") == []
