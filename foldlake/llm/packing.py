@@ -33,6 +33,8 @@ from foldlake.llm.sstable import encoder, vocabulary_of
 BUCKETS = 16
 BUDGET = 65536
 SLICE = 50_000
+#: Characters of texts that are cut into a tokenizer's pieces together.
+CHARS = 2_000_000
 
 
 def words(text: Column) -> Column:
@@ -48,13 +50,24 @@ def tokens(text: Column, tokenizer: str) -> Column:
         own = encoder(vocabulary, width)
         for texts in batches:
             rows = texts.tolist()
-            counts = [own.count(rows[lo : lo + 500]) for lo in range(0, len(rows), 500)]  # an Arrow batch cut up at once takes much memory
+            counts = [own.count(rows[lo:hi]) for lo, hi in _spans(rows)]  # an Arrow batch cut up at once takes much memory
             yield pd.Series(np.concatenate(counts) if counts else np.zeros(0, np.int64))
 
     count.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(count, "bigint")(text_of(text))
 
 
+def _spans(texts: list[str], most: int = CHARS) -> list[tuple[int, int]]:
+    """(begin, end) of runs of texts that have ``most`` characters together at the utmost, or are one longer text."""
+    out, lo, chars = [], 0, 0
+    for i, t in enumerate(texts):
+        if i > lo and chars + len(t) > most:
+            out.append((lo, i))
+            lo, chars = i, 0
+        chars += len(t)
+    return [*out, (lo, len(texts))] if texts else []
+
+
 def choose_boundaries(lengths, counts, buckets: int = BUCKETS) -> list[int]:
     """At most ``buckets`` boundaries, the last the greatest length, with the least padding. Among equals, the fewest."""
     x, c = np.asarray(lengths, np.int64), np.asarray(counts, np.int64)

@@ -223,7 +223,7 @@ class Encoder:
     #: A full stop or comma that follows no letter or digit.
     ODD = re.compile(r"[.,](?<![^\W_].)")
     #: Pieces kept in each of two generations.
-    CACHE = 150_000
+    CACHE = 300_000
     #: What Python calls letters below this, the tokenizer's pattern does too.
     LETTERS = "\u0600"
 

@@ -216,3 +216,11 @@ def test_fingerprints_of_large_buckets(spark):
     third = nodes.withColumn("node", F.when(F.col("node") == (1 << 63) - 1, 5).otherwise(F.col("node")))
     spread = nodes.withColumn("bucket", F.explode(F.array(F.lit(1), F.lit(2)))).unionAll(third.withColumn("bucket", F.lit(3))).unionAll(spark.range(1).selectExpr("id", "4"))
     assert sorted(map(tuple, J.distinct_buckets(spread).collect())) == [(1, 200_000), (3, 200_000)]
+
+
+def test_runs_of_texts_cover_all_rows_in_order():
+    for sizes in ([], [0], [9], [3, 3, 3, 3], [1, 50, 1, 0, 0, 7], [10, 10, 1, 9, 11]):
+        texts = ["x" * n for n in sizes]
+        spans = K._spans(texts, 10)
+        assert [i for lo, hi in spans for i in range(lo, hi)] == list(range(len(texts)))
+        assert all(hi > lo and (sum(sizes[lo:hi]) <= 10 or hi - lo == 1) for lo, hi in spans)
