@@ -119,14 +119,12 @@ def signatures(docs: DataFrame, bands: int, rows: int) -> DataFrame:
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler, hashes = Shingler(), _permutations(bands * rows)
+        summary = lambda s: (blake2b(s.tobytes(), digest_size=16).digest(), len(s), np.array(band_hashes(s, bands, rows, hashes)))
         for b in batches:
-            sets = [shingler(t) for t in b["text"]]
+            made = [summary(shingler(t)) for t in b["text"]]  # one set at a time is held
             yield pd.DataFrame({
-                "doc_id": b["doc_id"],
-                "own": b["own"],
-                "digest": [blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
-                "size": [len(s) for s in sets],
-                "bands": [band_hashes(s, bands, rows, hashes) for s in sets],
+                "doc_id": b["doc_id"], "own": b["own"],
+                "digest": [m[0] for m in made], "size": [m[1] for m in made], "bands": [m[2] for m in made],
             })
 
     texts = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), own_hash().alias("own"), "text")
