@@ -57,6 +57,21 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+#: Bytes of rows that go to a Python worker at once, in a session that does not set them.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def batched(df: DataFrame) -> DataFrame:
+    """``df``, whose session from now on bounds the bytes of a batch for Python workers: rows alone do not, texts being of any length.
+
+    A row that is longer than the bound is a batch of its own.
+    """
+    if df.sparkSession.conf.get(_BATCH_SETTING, None) is None:
+        df.sparkSession.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+    return df
+
+
 def fold_of(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``. A null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds

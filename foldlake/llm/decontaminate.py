@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldlake.llm.common import documents
+from foldlake.llm.common import batched, documents
 
 Q = 10
 WINDOW = 100
@@ -340,7 +340,7 @@ def matches(docs: DataFrame, items: list[tuple[int, str]], name: str) -> DataFra
 
     find.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.Series]}
     # Not deterministic in name only: so the optimizer does not evaluate it once for the filter and again for its rows.
-    return docs.withColumn(name, F.pandas_udf(find, MATCHES).asNondeterministic()("text"))
+    return batched(docs).withColumn(name, F.pandas_udf(find, MATCHES).asNondeterministic()("text"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

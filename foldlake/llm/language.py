@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldlake.llm.common import documents, fold_of
+from foldlake.llm.common import batched, documents, fold_of
 
 DIMS = 1 << 15
 MAX_DOCS = 250
@@ -292,7 +292,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             yield pd.DataFrame({"lang_pred": pd.Series(langs, dtype=object), "score": pd.Series(scores, dtype=float)})
 
     label.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    out = docs.select("doc_id", F.pandas_udf(label, "lang_pred string, score double")("text").alias("p"))
+    out = batched(docs).select("doc_id", F.pandas_udf(label, "lang_pred string, score double")("text").alias("p"))
     return out.select("doc_id", "p.lang_pred", "p.score")
 
 

@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldlake.llm.common import documents, free_name, saved
+from foldlake.llm.common import batched, documents, free_name, saved
 from foldlake.llm.components import components
 
 WIDTH = 5
@@ -128,7 +128,7 @@ def signatures(docs: DataFrame, bands: int, rows: int) -> DataFrame:
             })
 
     texts = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), own_hash().alias("own"), "text")
-    return texts.mapInPandas(sign, "doc_id long, own long, digest binary, size int, bands array<long>")
+    return batched(texts).mapInPandas(sign, "doc_id long, own long, digest binary, size int, bands array<long>")
 
 
 def own_hash() -> Column:
@@ -146,7 +146,7 @@ def _shingle_rows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pd.DataFrame({"digest": [blake2b(s.tobytes(), digest_size=16).digest() for s in sets], "shingles": [s.tobytes() for s in sets]})
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return texts.join(wanted, "doc_id", "left_semi").mapInPandas(cut, "digest binary, shingles binary")
+    return batched(texts).join(wanted, "doc_id", "left_semi").mapInPandas(cut, "digest binary, shingles binary")
 
 
 VERIFIED = "node binary, other binary, links long"
@@ -279,7 +279,7 @@ def grouped(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     work = work.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     work = work.select("node", "bucket", F.least("own", "k").alias("first"), F.greatest("own", "k").alias("second"), (F.col("own") <= F.col("k")).cast("int").alias("side"))
     work = work.join(loaded, "node").repartition("bucket", "first", "second").sortWithinPartitions("bucket", "first", "second", "node")
-    verified = saved(work.mapInPandas(_verify(threshold), VERIFIED), "verified")
+    verified = saved(batched(work).mapInPandas(_verify(threshold), VERIFIED), "verified")
 
     links = verified.filter("other IS NULL").groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(verified.filter("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")))

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldlake.llm.common import documents, saved, text_of
+from foldlake.llm.common import batched, documents, saved, text_of
 from foldlake.llm.sstable import encoder, vocabulary_of
 
 BUCKETS = 16
@@ -116,7 +116,7 @@ def pack(docs: DataFrame, length: Column | None = None, buckets: int = BUCKETS,
     ``bucket`` counts from 0 by length, ``batch`` from 0 in its bucket, ``slot`` from 0 in its batch.
     """
     length = words(F.col("text")) if length is None else length
-    rows = docs.select("doc_id", length.cast("bigint").alias("n_tokens"), F.xxhash64(text_of(F.col("text"))).alias("_t"), F.monotonically_increasing_id().alias("_row"))
+    rows = batched(docs).select("doc_id", length.cast("bigint").alias("n_tokens"), F.xxhash64(text_of(F.col("text"))).alias("_t"), F.monotonically_increasing_id().alias("_row"))
     rows = saved(rows, "lengths")
     histogram = rows.groupBy("n_tokens").count().orderBy("n_tokens").toPandas()  # a row for each distinct length
     bounds = choose_boundaries(histogram["n_tokens"], histogram["count"], buckets)

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldlake.llm.common import documents, fold_of
+from foldlake.llm.common import batched, documents, fold_of
 
 MAX_ROWS = 12000
 PARTS = 8
@@ -119,7 +119,7 @@ def _stats_frame(docs: DataFrame, keep: list[str]) -> DataFrame:
             yield out
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    return docs.select(*keep, "text").mapInPandas(rows, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "x array<double>"]))
+    return batched(docs).select(*keep, "text").mapInPandas(rows, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "x array<double>"]))
 
 
 def _summed(rows: DataFrame, mean, spread) -> tuple[np.ndarray, np.ndarray]:
@@ -134,7 +134,7 @@ def _summed(rows: DataFrame, mean, spread) -> tuple[np.ndarray, np.ndarray]:
         if not np.isscalar(a):
             yield pd.DataFrame({"a": [a.tobytes()], "b": [b.tobytes()]})
 
-    parts = rows.mapInPandas(sums, "a binary, b binary").collect()  # one row a partition, PARTS at most
+    parts = batched(rows).mapInPandas(sums, "a binary, b binary").collect()  # one row a partition, PARTS at most
     size = FEATURES + STATS + 1
     a = sum((np.frombuffer(p.a).reshape(size, size) for p in parts), np.zeros((size, size)))
     return a, sum((np.frombuffer(p.b) for p in parts), np.zeros(size))
@@ -176,7 +176,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pd.Series(model.probability(model.raw(x)))
 
     rate.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return docs.select("doc_id", F.pandas_udf(rate, "double")("text").alias("score"))
+    return batched(docs).select("doc_id", F.pandas_udf(rate, "double")("text").alias("score"))
 
 
 def op3_quality(spark, sf_dir):

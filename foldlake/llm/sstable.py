@@ -47,7 +47,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldlake.llm.common import documents, new_folder, saved, text_of
+from foldlake.llm.common import batched, documents, new_folder, saved, text_of
 
 MAGIC = b"SSTIDS01"
 FOOTER = struct.Struct("<QQIIIIQQ8s")
@@ -401,7 +401,7 @@ def build(docs: DataFrame, tokenizer: str, folder: str, shard_bytes: int = 16 <<
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     try:
-        return saved(ranged.mapInPandas(write, MANIFEST), "manifest")
+        return saved(batched(ranged).mapInPandas(write, MANIFEST), "manifest")
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
 

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldlake.llm.common import documents, fold_of, free_name
+from foldlake.llm.common import batched, documents, fold_of, free_name
 from foldlake.llm.words import WordScores, features_of, words_of
 
 DIMS = 1 << 16
@@ -198,7 +198,7 @@ def _features_frame(sample: DataFrame) -> DataFrame:
                 "swaps": [[{"cols": c.astype(np.int32).tobytes(), "vals": v.astype(np.float32).tobytes(), "n": n} for (c, v), n in s] for _, s in out],
             })
 
-    return sample.mapInPandas(make, "y int, cols binary, vals binary, swaps array<struct<cols:binary,vals:binary,n:int>>")
+    return batched(sample).mapInPandas(make, "y int, cols binary, vals binary, swaps array<struct<cols:binary,vals:binary,n:int>>")
 
 
 def train(docs: DataFrame, labels: DataFrame, per_label: int = MAX_ROWS) -> Model:
@@ -222,7 +222,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         for texts in batches:
             yield pd.Series(m.squash([sums(set(words_of(t))) for t in texts]))
 
-    return docs.withColumn(name, F.pandas_udf(_evaluated(rate), "double").asNondeterministic()(F.col(text_col)))
+    return batched(docs).withColumn(name, F.pandas_udf(_evaluated(rate), "double").asNondeterministic()(F.col(text_col)))
 
 
 def _evaluated(f):

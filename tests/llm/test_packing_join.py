@@ -3,11 +3,13 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from foldlake.llm import ngram_join as J
 from foldlake.llm import packing as K
+from foldlake.llm.common import batched
 from foldlake.llm.components import components
 from tests.llm.conftest import ODD
 
@@ -224,3 +226,11 @@ def test_runs_of_texts_cover_all_rows_in_order():
         spans = K._spans(texts, 10)
         assert [i for lo, hi in spans for i in range(lo, hi)] == list(range(len(texts)))
         assert all(hi > lo and (sum(sizes[lo:hi]) <= 10 or hi - lo == 1) for lo, hi in spans)
+
+
+def test_batches_for_python_are_bounded_by_bytes(spark, make):
+    long = "word " * 300_000
+    docs = make([(i, long) for i in range(8)] + [(i, "short") for i in range(8, 40)]).coalesce(1)
+    sizes = lambda batches: (pd.DataFrame({"n": [len(b)]}) for b in batches)
+    counts = [r.n for r in batched(docs.select("doc_id", "text")).mapInPandas(sizes, "n int").collect()]
+    assert sum(counts) == 40 and counts[0] < 8
