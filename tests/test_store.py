@@ -271,6 +271,13 @@ def test_maintenance_pass_folds_marks_and_sweeps(coll):
     assert coll.store.maintain(snapshots.Profile(0, 0), entry_bytes=1 << 20) == []
 
 
+def test_maintenance_folds_the_whole_log(coll, spark):
+    coll.insert_frame(spark.range(10_001).select(F.col("id").cast("string").alias("_id"), F.parse_json(F.lit("{}")).alias("body")))
+    assert coll.store.maintain(entry_bytes=1 << 20)[0] == "fold:ok"
+    head = coll.store.head()
+    assert head["log_seq_start"] == head["tail"] == 10_001 and head["snapshot_rows"] == 10_001
+
+
 def test_cursor_rules(coll):
     for i in range(3):
         coll.insert({"_id": f"d{i}"})
