@@ -25,12 +25,16 @@ def discover_collections(keys: DataFrame, key: str = "key") -> DataFrame:
     return rows.filter("collection <> ''").distinct()
 
 
-def mark_orphans(files: DataFrame, current: str | None, ledger: DataFrame, now: Column, generation: str, most: int = MAX_MARKS) -> DataFrame:
-    """(key, due_at, reason, generation): snapshot files that are not current, well named and not in the ledger, by name."""
+def _first(rows: DataFrame, most: int | None, *order: str) -> DataFrame:
+    return rows if most is None else rows.orderBy(*order).limit(most)
+
+
+def mark_orphans(files: DataFrame, current: str | None, ledger: DataFrame, now: Column, generation: str, most: int | None = MAX_MARKS) -> DataFrame:
+    """(key, due_at, reason, generation): snapshot files that are not current, well named and not in the ledger, by name; all with None for ``most``."""
     rows = files.select("key").filter(F.col("key").rlike(SNAPSHOT_NAME))
     if current is not None:
         rows = rows.filter(F.col("key") != current)
-    rows = rows.join(ledger.select("key"), "key", "left_anti").orderBy("key").limit(most)
+    rows = _first(rows.join(ledger.select("key"), "key", "left_anti"), most, "key")
     return rows.select("key", (now + F.expr(f"INTERVAL {GRACE_DAYS} DAYS")).alias("due_at"), F.lit("orphan-snapshot").alias("reason"), F.lit(generation).alias("generation"))
 
 
@@ -49,17 +53,17 @@ def classify_candidates(ledger: DataFrame, generation: str, current: str | None,
     return ledger.withColumn("verdict", verdict)
 
 
-def sweep(classified: DataFrame, most: int = MAX_SWEEPS) -> tuple[DataFrame, DataFrame]:
+def sweep(classified: DataFrame, most: int | None = MAX_SWEEPS) -> tuple[DataFrame, DataFrame]:
     """(keys to delete, the ledger after it): the first ``most`` by due time go; what waits, is blocked or came too late stays."""
-    due = classified.filter("verdict = 'sweep'").orderBy("due_at", "key").limit(most).select("key")
+    due = _first(classified.filter("verdict = 'sweep'"), most, "due_at", "key").select("key")
     stays = classified.filter(F.col("verdict").isin("wait", "blocked", "sweep")).join(due, "key", "left_anti").drop("verdict")
     return due, stays
 
 
-def merge_ledger(old: DataFrame, marks: DataFrame, cap: int = LEDGER_CAP) -> DataFrame:
+def merge_ledger(old: DataFrame, marks: DataFrame, cap: int | None = LEDGER_CAP) -> DataFrame:
     """Both, the old row where a key is in both; the first ``cap`` by due time and name."""
     fresh = marks.join(old.select("key"), "key", "left_anti")
-    return old.unionByName(fresh.select(*old.columns)).orderBy("due_at", "key").limit(cap)
+    return _first(old.unionByName(fresh.select(*old.columns)), cap, "due_at", "key")
 
 
 def retention_range(delete_floor: int, log_seq_start: int, retain: int = RETAIN, step: int = RETIRE_STEP) -> tuple[int, int]:

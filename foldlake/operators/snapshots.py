@@ -126,11 +126,12 @@ class Profile:
     gc_every: int = 256
 
 
-# Ceilings of the host profiles.
+# Ceilings of the host profiles. A cluster has none, since no host holds a whole snapshot.
 PROFILES = {
     "free": Profile(512 * 1024, 2048),
     "paid": Profile(8 * 1024 * 1024, 32768),
     "node": Profile(32 * 1024 * 1024, 65536),
+    "cluster": Profile(1 << 60, 1 << 60),
 }
 MIN_SNAPSHOT_BYTES = 64 * 1024
 

@@ -336,8 +336,12 @@ class Store:
             return "lost-race"
         return "ok"
 
-    def maintain(self, profile: Profile = PROFILES["node"], entry_bytes: int = 1024, before: int | None = None, now: str | None = None, least: int = 1, most: int = 1 << 60) -> list[str]:
-        """Run a pass after commits moved the tail on from ``before``; the names of the steps that were done. A fold takes the whole log, as it is distributed."""
+    def maintain(self, profile: Profile = PROFILES["cluster"], entry_bytes: int = 1024, before: int | None = None, now: str | None = None, least: int = 1, most: int = 1 << 60) -> list[str]:
+        """Run a pass after commits moved the tail on from ``before``; the names of the steps that were done.
+
+        A fold takes the whole log, as it is distributed, and garbage collection and retention do all that is due. A
+        profile with ceilings defers the fold of a larger snapshot; ``compact`` and a pass without ceilings make it up.
+        """
         head, done = self.head(), []
         if head is None:
             return done
@@ -347,7 +351,7 @@ class Store:
             elif step == "gc":
                 done.append(f"gc:{self.collect_garbage(now)}")
             elif step == "retention":
-                low, high = self.retire(step=20)
+                low, high = self.retire()
                 done.append(f"retention:{high - low}")
             else:
                 done.append(step)
@@ -361,7 +365,8 @@ class Store:
     def collect_garbage(self, now: str | None = None) -> int:
         """Mark snapshots that the head no longer names, sweep those whose time has come; how many went.
 
-        The ledger of candidates is a field of the head, so a pass that lost a race has marked nothing.
+        The ledger of candidates is a field of the head, so a pass that lost a race has marked nothing. It takes
+        all candidates: like the list of the store's snapshots, it is a row a snapshot.
         """
         from foldlake.operators import maintenance as M
 
@@ -369,10 +374,10 @@ class Store:
         at = F.lit(now).cast("timestamp") if now else F.current_timestamp()
         ledger = self.spark.createDataFrame([tuple(x) for x in head.get("gc", [])], "key string, due string, reason string, generation string")
         ledger = ledger.select("key", F.col("due").cast("timestamp").alias("due_at"), "reason", "generation")
-        due, stays = M.sweep(M.classify_candidates(ledger, head["generation"], head["snapshot"], head["log_seq_start"], at))
-        gone = [r.key for r in due.collect()]  # MAX_SWEEPS at most
-        marks = M.mark_orphans(self.snapshot_files(), head["snapshot"], ledger, at, head["generation"])
-        kept = M.merge_ledger(stays, marks).select("key", F.col("due_at").cast("string"), "reason", "generation").collect()  # LEDGER_CAP at most
+        due, stays = M.sweep(M.classify_candidates(ledger, head["generation"], head["snapshot"], head["log_seq_start"], at), most=None)
+        gone = [r.key for r in due.collect()]
+        marks = M.mark_orphans(self.snapshot_files(), head["snapshot"], ledger, at, head["generation"], most=None)
+        kept = M.merge_ledger(stays, marks, cap=None).select("key", F.col("due_at").cast("string"), "reason", "generation").collect()
         self._advance(head, gc=[list(r) for r in kept])
         for key in gone:
             self.files.delete(key)

@@ -278,6 +278,20 @@ def test_maintenance_folds_the_whole_log(coll, spark):
     assert head["log_seq_start"] == head["tail"] == 10_001 and head["snapshot_rows"] == 10_001
 
 
+def test_maintenance_defers_and_leaves_nothing(coll, spark, tmp_path):
+    store, old = coll.store, [f"{i:012d}-{i:012d}-{'a' * 64}.parquet" for i in range(1_001)]
+    store.reseed(spark.range(65_537).select(F.col("id").cast("string").alias("_id"), F.parse_json(F.lit("{}")).alias("body")))
+    coll.insert_frame(spark.range(100_000, 103_000).select(F.col("id").cast("string").alias("_id"), F.parse_json(F.lit("{}")).alias("body")))
+    for name in old:
+        (tmp_path / "app=app/tenant=main/notes/snapshot/L9" / name).mkdir()
+    # The snapshot passes a host's ceiling, retention is over 20 numbers behind, and over 1,000 snapshots are orphans.
+    assert store.maintain(entry_bytes=1 << 20, before=0) == ["fold:ok", "gc:0", "retention:1976"]
+    assert store.head()["snapshot_rows"] == 68_537 and len(store.head()["gc"]) == 1_002
+    store.maintain(entry_bytes=0, before=0, now="2999-01-01")
+    assert store.files.list("snapshot/L9") == [store.head()["snapshot"].rpartition("/")[2]]
+    assert coll.count() == 68_537
+
+
 def test_cursor_rules(coll):
     for i in range(3):
         coll.insert({"_id": f"d{i}"})
