@@ -6,8 +6,9 @@ from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foldlake.errors import EngineError
 
@@ -57,15 +58,42 @@ def route(mutations: DataFrame, chunks: DataFrame, id_col: str = "doc_id", op_co
     a delete to none. The chunk at or before an id is found by a union sorted by id with the last
     chunk seen carried along, dealt by ranges of ids: no join of all with all.
     """
-    marks = sorted(chunks.select("first_id", "last_id").collect(), key=lambda r: r[0])  # the snapshot's manifest: 32 chunks at most per level
-    if not marks:
+    at = F.col("_at")
+    marks = chunks.filter(F.col("first_id").isNotNull()).select(F.col("first_id").alias("_at"), F.struct("first_id", "last_id").alias("_mark"))
+    rows = mutations.withColumn("_at", F.col(id_col))
+    ranges = rows.select("_at").filter(at.isNotNull()).unionByName(marks, allowMissingColumns=True).repartitionByRange("_at")
+    ranges = ranges.groupBy(F.spark_partition_id().alias("p")).agg(F.min("_at").alias("low"), F.min("_mark").alias("least"), F.max("_mark").alias("most"))
+    parts = sorted(ranges.collect(), key=lambda r: r.p)  # one row a partition
+    lowest = next((r.least.first_id for r in parts if r.least is not None), None)
+    if lowest is None:
         return mutations.withColumn("chunk", F.lit(None).cast("string"))
-    firsts = F.array(*[F.lit(m["first_id"]) for m in marks])
-    lasts = F.array(*[F.lit(m["last_id"]) for m in marks])
-    n = F.size(F.filter(firsts, lambda f: f <= F.col(id_col)))
-    owner = F.get(firsts, F.greatest(n - 1, F.lit(0)))
-    inside = (n > 0) & (F.col(id_col) <= F.get(lasts, n - 1))
-    return mutations.withColumn("chunk", F.when(inside | (F.col(op_col) != "D"), owner))
+    carried, seen = [], None  # the last chunk before each slice
+    for k, r in enumerate(parts):
+        if seen is not None:
+            carried.append((k, seen.first_id, seen))
+        seen = r.most or seen
+    to = F.when(at.isNull(), 0).otherwise(slice_of(at, [r.low for r in parts[1:]])).alias("_slice")
+    before = mutations.sparkSession.createDataFrame(carried, T.StructType([T.StructField("_slice", T.IntegerType()), *marks.schema.fields]))
+    dealt = rows.select("*", to, F.lit(True).alias("_row"))
+    for more in (marks.select("*", to), before):
+        dealt = dealt.unionByName(more.withColumn("_row", F.lit(False)), allowMissingColumns=True)
+    w = Window.partitionBy("_slice").orderBy("_at", "_row", "_mark").rowsBetween(Window.unboundedPreceding, 0)
+    dealt = dealt.withColumn("_own", F.last("_mark", ignorenulls=True).over(w)).filter("_row")
+    inside = F.col("_own").isNotNull() & (at <= F.col("_own.last_id"))
+    owner = F.coalesce("_own.first_id", F.lit(lowest))
+    return dealt.select(*mutations.columns, F.when(inside | (F.col(op_col) != "D"), owner).alias("chunk"))
+
+
+def slice_of(at: Column, fences: Sequence) -> Column:
+    """How many of the sorted ``fences`` are at or below ``at``, by comparisons that halve them."""
+
+    def search(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(at < F.lit(fences[mid]), search(low, mid)).otherwise(search(mid + 1, high))
+
+    return search(0, len(fences))
 
 
 def facing_merge(chunks: Sequence[Chunk], at: int, target_rows: int, target_bytes: int, least: float = 0.5) -> list[Chunk]:

@@ -52,6 +52,37 @@ def test_body_filter_stays_above_and_id_filter_goes_below(spark):
     assert plan.count("Exchange") == 1
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_route_against_a_search(spark, seed):
+    from bisect import bisect_right
+
+    rng = random.Random(seed)
+    ids = sorted(rng.sample(range(10_000), 400))
+    marks = [(f"{a:05d}", f"{b:05d}") for a, b in zip(ids[::2], ids[1::2], strict=True)]
+    rows = [(k, None if k < 2 else f"{rng.randrange(11_000):05d}", rng.choice("IUD")) for k in range(3_000)] + [(k, "05000", "U") for k in range(3_000, 4_000)]
+    firsts = [a for a, _ in marks]
+
+    def owner(i, op):
+        n = bisect_right(firsts, i) if i is not None else 0
+        return firsts[max(n - 1, 0)] if op != "D" or (n and i <= marks[n - 1][1]) else None
+
+    # No adaptive joining of small partitions, so that chunks are carried from slice to slice.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = snapshots.route(spark.createDataFrame(rows, "k int, doc_id string, op string"), spark.createDataFrame(marks, "first_id string, last_id string"))
+        assert out.columns == ["k", "doc_id", "op", "chunk"]
+        assert sorted(map(tuple, out.collect())) == sorted(((k, i, op, owner(i, op)) for k, i, op in rows), key=lambda r: r[0])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_route_compares_each_row_with_few_chunks(spark):
+    rows = spark.range(2_000).select(F.lpad(F.col("id").cast("string"), 8, "0").alias("doc_id"), F.lit("U").alias("op"))
+    plan = snapshots.route(rows, rows.select(F.col("doc_id").alias("first_id"), F.col("doc_id").alias("last_id")))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("00001") < 10  # no list of all chunks in the plan
+    assert snapshots.route(rows, rows.limit(0).select(F.col("doc_id").alias("first_id"), F.col("doc_id").alias("last_id"))).filter("chunk IS NULL").count() == 2_000
+
+
 def test_greedy_split_and_presets():
     runs = list(snapshots.greedy_split([(str(i), 10) for i in range(10)], 4, 35))
     assert [len(r) for r in runs] == [3, 3, 3, 1]
