@@ -126,21 +126,25 @@ def plan_fold(log: DataFrame, budgets: Budgets) -> DataFrame:
     """(seq, fits): which log rows the longest prefix takes within all budgets.
 
     ``log``: (seq, doc_id, bytes, chunk, chunk_bytes). An id counts once and a chunk's bytes count
-    once for reading and writing. First meetings are found by partitioned windows; then the
-    sums run along seq in slices, which are joined to the slices' running totals.
+    once for reading and writing. First meetings are the least seq of each id and chunk; with the
+    rows, their sums run along seq in slices, which are joined to the slices' running totals.
     """
-    first_id = F.row_number().over(Window.partitionBy("doc_id").orderBy("seq")) == 1
-    first_chunk = (F.row_number().over(Window.partitionBy("chunk").orderBy("seq")) == 1) & F.col("chunk").isNotNull()
-    cost = F.when(first_chunk, F.col("chunk_bytes")).otherwise(0)
-    rows = log.select("seq", F.col("bytes").alias("b"), first_id.cast("bigint").alias("i"), first_chunk.cast("bigint").alias("c"), cost.alias("k"))
-    rows = rows.withColumn("slice", F.floor(F.col("seq") / 10000))
-    own = Window.partitionBy("slice").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    names = {"n": F.lit(1), "b": F.col("b"), "i": F.col("i"), "c": F.col("c"), "k": F.col("k")}
-    totals = rows.groupBy("slice").agg(*[F.sum(v).alias(f"t_{x}") for x, v in names.items()])
+    zero = {x: F.lit(None if x == "b" else 0).cast("bigint").alias(x) for x in "nbick"}
+    ids = log.groupBy("doc_id").agg(F.min("seq").alias("seq"))
+    chunks = log.filter(F.col("chunk").isNotNull()).groupBy("chunk").agg(F.min(F.struct("seq", "chunk_bytes")).alias("m"))
+    one = F.lit(1).cast("bigint")
+    parts = [
+        log.select("seq", F.lit(True).alias("row"), *{**zero, "n": one.alias("n"), "b": F.col("bytes").cast("bigint").alias("b")}.values()),
+        ids.select("seq", F.lit(False).alias("row"), *{**zero, "i": one.alias("i")}.values()),
+        chunks.select("m.seq", F.lit(False).alias("row"), *{**zero, "c": one.alias("c"), "k": F.col("m.chunk_bytes").cast("bigint").alias("k")}.values()),
+    ]
+    rows = parts[0].unionAll(parts[1]).unionAll(parts[2]).withColumn("slice", F.floor(F.col("seq") / 10000))
+    own = Window.partitionBy("slice").orderBy("seq", "row").rowsBetween(Window.unboundedPreceding, 0)
+    totals = rows.groupBy("slice").agg(*[F.sum(x).alias(f"t_{x}") for x in zero])
     before = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)  # one row a slice
-    totals = totals.select("slice", *[F.coalesce(F.sum(f"t_{x}").over(before), F.lit(0)).alias(f"o_{x}") for x in names])
-    run = rows.select("seq", "slice", *[F.sum(v).over(own).alias(f"r_{x}") for x, v in names.items()]).join(totals, "slice")
-    at = {x: F.col(f"r_{x}") + F.col(f"o_{x}") for x in names}
+    totals = totals.select("slice", *[F.sum(f"t_{x}").over(before).alias(f"o_{x}") for x in zero])
+    run = rows.select("seq", "slice", "row", *[F.sum(x).over(own).alias(f"r_{x}") for x in zero]).filter("row").join(totals, "slice")
+    at = {x: F.coalesce(F.col(f"r_{x}") + F.col(f"o_{x}"), f"r_{x}", f"o_{x}") for x in zero}
     fits = (at["n"] <= budgets.entries) & (at["b"] <= budgets.log_bytes) & (at["i"] <= budgets.ids) & (at["c"] <= budgets.chunks) & (at["k"] <= budgets.read_bytes) & (at["k"] + at["b"] <= budgets.write_bytes)
     return run.select("seq", fits.alias("fits"))  # all sums rise, so what fits is a prefix
 

@@ -129,3 +129,22 @@ def test_fold_budget_takes_a_prefix(spark):
     assert fits(read_bytes=150) == [0, 1]
     assert fits(log_bytes=40) == [0, 1, 2, 3]
     assert fits() == [0, 1, 2, 3, 4]
+
+
+def test_fold_budget_against_sums_over_slices(spark):
+    rng = random.Random(1)
+    rows = [(s, f"d{rng.randrange(5_000)}", None if s in (10_000, 12_345) else rng.randrange(9), rng.choice(["x", "y", None]), 7) for s in range(9_000, 21_000)]
+    n = size = met = 0
+    ids, chunks, want = set(), set(), {}
+    for seq, doc, b, chunk, cost in rows:
+        n, size = n + 1, size + (b or 0)
+        ids.add(doc)
+        if chunk and chunk not in chunks:
+            chunks.add(chunk)
+            met += cost
+        want[seq] = n <= 11_000 and size <= 40_000 and len(ids) <= 4_400 and size + met <= 39_000
+    budgets = snapshots.Budgets(entries=11_000, log_bytes=40_000, ids=4_400, write_bytes=39_000)
+    out = snapshots.plan_fold(spark.createDataFrame(rows, "seq long, doc_id string, bytes long, chunk string, chunk_bytes long"), budgets)
+    assert {r.seq: r.fits for r in out.collect()} == want and any(want.values()) and not all(want.values())
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert "windowspecdefinition(chunk" not in plan and "windowspecdefinition(doc_id" not in plan  # no chunk or id is one task's
