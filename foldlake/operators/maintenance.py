@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foldlake.operators import stats
+
 # Fixed values.
 GRACE_DAYS = 7
 MAX_MARKS = 1000
@@ -116,9 +118,10 @@ def metrics_summary(observations: DataFrame) -> DataFrame:
 
 
 def op_rollup(ops: DataFrame, kind: str, value: str) -> DataFrame:
-    """(kind, n, p50, p95, p99, share) for each kind, by nearest rank; one shuffle. Share is of all operations."""
-    q = [F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY `{value}`)").alias(n) for n, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))]
-    by = ops.groupBy(F.col(kind).alias("kind")).agg(F.count(F.lit(1)).alias("n"), *q)
+    """(kind, n, p50, p95, p99, share) for each kind, by nearest rank. Share is of all operations."""
+    ops = ops.select(F.col(kind).alias("kind"), F.col(value).alias("value"))
+    by = ops.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    by = stats.beside(by, stats.quantiles(ops, "value", {"p50": ("rank", 0.5), "p95": ("rank", 0.95), "p99": ("rank", 0.99)}, ["kind"]), ["kind"])
     total = by.agg(F.sum("n").alias("_t"))
     return by.crossJoin(F.broadcast(total)).withColumn("share", F.col("n") / F.col("_t")).drop("_t")  # one row
 

@@ -4,30 +4,79 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from decimal import Decimal
+from functools import reduce
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def nearest_rank(value: str, q: float) -> Column:
-    """The ceil(q n)-th value, the least for q = 0."""
-    return F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY `{value}`)")
+#: Error of the sketch that brackets a quantile is 1 / ACCURACY; the bracket is SLACK wide on both sides.
+ACCURACY = 10_000
+SLACK = 5 / ACCURACY
 
 
-def quantile_r7(value: str, q: float) -> Column:
-    """Linear interpolation at (n - 1) q."""
-    return F.percentile(F.col(value), F.lit(q))
+def beside(rows: DataFrame, few: DataFrame, by: list[str], how: str = "inner", and_on: str | None = None) -> DataFrame:
+    """``rows`` with the other columns of ``few``, which has one row a group; groups of nulls too. ``and_on`` is a further key, never null."""
+    key = {c: f"_by_{c}" for c in [*by, *([and_on] if and_on else [])]}
+    few = few.withColumnsRenamed(key)
+    if not key:
+        return rows.crossJoin(F.broadcast(few))
+    same = [rows[c] == few[k] if c == and_on else rows[c].eqNullSafe(few[k]) for c, k in key.items()]
+    return rows.join(F.broadcast(few), reduce(Column.__and__, same), how).drop(*key.values())
+
+
+def quantiles(df: DataFrame, value: str, wanted: dict[str, tuple[str, float]], by: list[str] | None = None) -> DataFrame:
+    """(…by, a double for each of ``wanted``), exact; null for a group without values.
+
+    ``("rank", q)`` is the ceil(q n)-th value, the least for q = 0; ``("r7", q)`` interpolates at (n - 1) q.
+
+    A sketch of each group brackets the quantiles, the values below, within and above each bracket are
+    counted, and only the slices that the counts say hold a wanted rank are grouped by value and
+    summed up in order. A bracket that misses costs time; the result is the same.
+    """
+    by = by or []
+    rows = df.select(*by, F.col(value).alias("_v"))
+    near = [min(1.0, max(0.0, q + d)) for _, q in wanted.values() for d in (-SLACK, SLACK)]
+    groups = rows.groupBy(*by).agg(F.percentile_approx("_v", near, ACCURACY).alias("_f"), F.count("_v").alias("_n"))
+    n, v = F.col("_n"), F.col("_v")
+    ranks, results = [], []
+    for name, (kind, q) in wanted.items():
+        if kind == "rank":
+            ranks.append(F.greatest(F.lit(1), F.ceil(n * F.lit(Decimal(str(q)))).cast("bigint")))
+            results.append(F.col(f"_r{len(ranks) - 1}").cast("double").alias(name))
+        else:
+            at = (n - 1) * F.lit(float(q))
+            ranks += [F.floor(at) + 1, F.ceil(at) + 1]
+            low, high = (F.col(f"_r{len(ranks) - k}").cast("double") for k in (2, 1))
+            mixed = (F.ceil(at) - at) * low + (at - F.floor(at)) * high
+            results.append(F.when(low == high, low).otherwise(mixed).alias(name))
+    # Grows with the value; a bracket has both its ends, so that a value that fills it is alone in it.
+    place = sum(((v >= F.get("_f", F.lit(i))).cast("int") + (v > F.get("_f", F.lit(i + 1))).cast("int") for i in range(0, len(near), 2)), F.lit(0))
+    sliced = beside(rows.filter(v.isNotNull()), groups, by).select(*by, "_n", "_v", place.alias("_s"))
+    counts = sliced.groupBy(*by, "_n", "_s").agg(F.count(F.lit(1)).alias("_c"))
+    run = F.sum("_c").over(Window.partitionBy(*by).orderBy("_s"))  # a row for each bracket and what is between them
+    counts = counts.select(*by, "_n", "_s", (run - F.col("_c")).alias("_below"), run.alias("_to"))
+    holds = lambda r, low, to: (F.col(low) < r) & (r <= F.col(to))
+    counts = counts.filter(reduce(Column.__or__, [holds(r, "_below", "_to") for r in ranks])).select(*by, "_s", "_below")
+    values = beside(sliced, counts, by, and_on="_s").groupBy(*by, "_n", "_s", "_below", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    run = F.col("_below") + F.sum("_c").over(Window.partitionBy(*by, "_s").orderBy("_v"))
+    values = values.withColumn("_to", run).withColumn("_from", F.col("_to") - F.col("_c"))
+    found = values.groupBy(*by).agg(*[F.max(F.when(holds(r, "_from", "_to"), v)).alias(f"_r{i}") for i, r in enumerate(ranks)])
+    return beside(groups.select(*by, "_n"), found, by, "left").select(*by, *results)
 
 
 def mad(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     """(…by, median, mad): the median absolute deviation from the median, unscaled."""
     by = by or []
-    med = df.groupBy(*by).agg(F.percentile(F.col(value), F.lit(0.5)).alias("median"))
-    rows = df.join(F.broadcast(med), by) if by else df.crossJoin(F.broadcast(med))  # one row a group
-    return rows.groupBy(*by, "median").agg(F.percentile(F.abs(F.col(value) - F.col("median")), F.lit(0.5)).alias("mad"))
+    rows = df.select(*by, F.col(value).alias("_x"))
+    median = quantiles(rows, "_x", {"median": ("r7", 0.5)}, by)
+    away = beside(rows, median, by).select(*by, F.abs(F.col("_x") - F.col("median")).alias("_x"))
+    out = beside(median, quantiles(away, "_x", {"mad": ("r7", 0.5)}, by), by)
+    return out if by else out.join(rows.limit(1).select(), how="cross")  # no rows, no row
 
 
 def ols_simple(df: DataFrame, y: str, x: str, by: list[str] | None = None) -> DataFrame:

@@ -670,7 +670,9 @@ def monotonic_reads(spark, sf_dir):
 
 @query("quantiles", "SELECT l_returnflag, quantile_disc(l_quantity, 0.9) AS rank90, round(quantile_cont(l_extendedprice, 0.9), 6) AS r7_90 FROM lineitem GROUP BY l_returnflag")
 def quantiles(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(stats.nearest_rank("l_quantity", 0.9).alias("rank90"), F.round(stats.quantile_r7("l_extendedprice", 0.9), 6).alias("r7_90"))
+    li, by = table(spark, sf_dir, "lineitem"), ["l_returnflag"]
+    rank, r7 = stats.quantiles(li, "l_quantity", {"rank90": ("rank", 0.9)}, by), stats.quantiles(li, "l_extendedprice", {"r7_90": ("r7", 0.9)}, by)
+    return stats.beside(rank, r7, by).withColumn("r7_90", F.round("r7_90", 6))
 
 
 @query("mad", "SELECT round(median, 6) AS median, round(quantile_cont(abs(l_extendedprice - median), 0.5), 6) AS mad FROM lineitem, (SELECT quantile_cont(l_extendedprice, 0.5) AS median FROM lineitem) GROUP BY median")

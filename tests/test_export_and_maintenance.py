@@ -114,3 +114,42 @@ def test_generators_keep_their_range():
     assert [stats.zipf_index(10, 2.0, u) for u in (0.0, 0.5, 0.75, 0.9999)] == [0, 1, 3, 9]
     assert stats.zipf_index(5, 1.2, 0.999999) == 4 and stats.zipf_index(5, 1.0, 0.5) == 4
     assert stats.power_law(1, 10, 2.0, 0.0) == 1 and stats.power_law(1, 10, 2.0, 1.0) == 10
+
+
+@pytest.mark.parametrize("accuracy, slack", [(stats.ACCURACY, stats.SLACK), (1, 0.0)])  # the second sketch misses
+def test_quantiles_against_sorting(spark, monkeypatch, accuracy, slack):
+    import math
+    import random
+
+    import numpy as np
+
+    monkeypatch.setattr(stats, "ACCURACY", accuracy)
+    monkeypatch.setattr(stats, "SLACK", slack)
+    rng = random.Random(1)
+    draw = {"even": lambda: rng.randrange(10**9) / 100, "tied": lambda: rng.choice([1.0, 2.0, 2.0, 2.0, rng.random() + 2]), None: lambda: rng.lognormvariate(0, 20) - 1, "one": lambda: 7.0}
+    data = {g: [f() for _ in range({"one": 1}.get(g, 3_001 if g else 2_000))] for g, f in draw.items()}
+    rows = [(g, v) for g, vs in data.items() for v in vs] + [("none", None), ("even", None)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(3)
+    wanted = {"a": ("rank", 0.9), "b": ("r7", 0.9), "c": ("rank", 0.0), "d": ("r7", 0.5), "e": ("rank", 0.07)}
+    got = {r.g: r[1:] for r in stats.quantiles(df, "x", wanted, ["g"]).collect()}
+    rank = lambda vs, q: vs[max(1, -(-len(vs) * q // 100)) - 1]
+    assert got.pop("none") == (None,) * 5
+    for g, vs in data.items():
+        vs = sorted(vs)
+        want = (rank(vs, 90), float(np.quantile(vs, 0.9)), vs[0], float(np.median(vs)), rank(vs, 7))
+        assert all(math.isclose(a, b, rel_tol=1e-12) for a, b in zip(got.pop(g), want, strict=True))
+    assert got == {}
+    deviations = {r.g: (r.median, r.mad) for r in stats.mad(df, "x", ["g"]).collect()}
+    for g, vs in data.items():
+        assert math.isclose(deviations[g][1], float(np.median(np.abs(np.array(vs) - np.median(vs)))), rel_tol=1e-12)
+    assert deviations["none"] == (None, None)
+
+
+def test_no_task_holds_all_values(spark):
+    df = spark.range(10).select(F.col("id").cast("double").alias("x"), F.lit("k").alias("k"))
+    out = stats.mad(df, "x")
+    for plan in (out, maintenance.op_rollup(df, "k", "x")):
+        text = plan._jdf.queryExecution().analyzed().toString()
+        assert "percentile(" not in text and "percentiledisc(" not in text.lower().replace("_", "")
+    assert out.collect() == [(4.5, 2.5)] and stats.mad(df.limit(0), "x").collect() == []
+    assert stats.mad(df.select(F.lit(None).cast("double").alias("x")), "x").collect() == [(None, None)]
